@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 ISO_PATTERN = (
-    r"^(\d{4}-\d{2}-\d{2})(?:[T ](\d{2}:\d{2})(:\d{2})?([.,]\d{1,9})?(Z|[+-]\d{2}:?\d{2})?)?$"
+    r"^\d{4}-\d{2}-\d{2}(?:[T ]\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?(?:Z|[+-]\d{2}:?\d{2})?)?$"
 )
+OFFSET_PATTERN = r"\d{2}:\d{2}(?::\d{2}(?:[.,]\d{1,9})?)?(Z|[+-]\d{2}:?\d{2})$"
 ISO6709_PATTERN = r"([+-]\d+(?:\.\d+)?)([+-]\d+(?:\.\d+)?)"
 
 
@@ -42,11 +43,8 @@ def _offset_text(minutes: Column) -> Column:
 
 def _local_iso(micros: Column) -> Column:
     moment = F.timestamp_micros(micros)
-    whole = F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss")
-    fraction = F.pmod(micros, F.lit(1_000_000))
-    return F.when(fraction == 0, whole).otherwise(
-        F.concat(whole, F.lit("."), F.lpad(fraction.cast("string"), 6, "0"))
-    )
+    text = F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.regexp_replace(text, r"\.000000$", "")
 
 
 def unix_to_iso(seconds: Column) -> Column:
@@ -58,27 +56,26 @@ def unix_to_iso(seconds: Column) -> Column:
 
 
 def has_offset(text: Column) -> Column:
-    return F.coalesce(_part(text, ISO_PATTERN, 5) != "", F.lit(False))
+    return F.coalesce(text.rlike(OFFSET_PATTERN), F.lit(False))
 
 
 def iso_micros(text: Column) -> Column:
-    """Instant of ISO text in microseconds; text without an offset is read as UTC."""
-    local = F.concat(
-        _part(text, ISO_PATTERN, 1), F.lit(" "),
-        F.when(_part(text, ISO_PATTERN, 2) == "", F.lit("00:00")).otherwise(_part(text, ISO_PATTERN, 2)),
-        F.when(_part(text, ISO_PATTERN, 3) == "", F.lit(":00")).otherwise(_part(text, ISO_PATTERN, 3)),
-        F.replace(_part(text, ISO_PATTERN, 4), F.lit(","), F.lit(".")),
-    )
-    minutes = _offset_minutes(_part(text, ISO_PATTERN, 5))
-    return F.when(
-        text.rlike(ISO_PATTERN) & (F.abs(minutes) < 1440),
-        _micros(local) - minutes.cast("long") * 60_000_000,
+    """Instant of ISO text in microseconds; text without an offset is read as UTC.
+
+    Offsets go up to 18 hours, which covers every zone there is.
+    """
+    zoned = F.regexp_replace(F.replace(text, F.lit(","), F.lit(".")), r"([+-]\d{2})(\d{2})$", "$1:$2")
+    complete = (
+        F.when(text.rlike(OFFSET_PATTERN), zoned)
+        .when(F.char_length(text) == 10, F.concat(text, F.lit("T00:00:00Z")))
+        .otherwise(F.concat(zoned, F.lit("Z")))
     )
+    return F.unix_micros(F.when(text.rlike(ISO_PATTERN), complete).try_cast("timestamp"))
 
 
 def iso_text(text: Column) -> Column:
     """The same instant in one spelling, with its own offset kept; null without offset."""
-    minutes = _offset_minutes(_part(text, ISO_PATTERN, 5))
+    minutes = _offset_minutes(F.regexp_extract(text, OFFSET_PATTERN, 1))
     local = iso_micros(text) + minutes.cast("long") * 60_000_000
     return F.when(has_offset(text), F.concat(_local_iso(local), _offset_text(minutes)))
 

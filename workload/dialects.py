@@ -29,6 +29,9 @@ class Duck:
     def iso(self, ts: str) -> str:
         return f"strftime({ts}, '%Y-%m-%dT%H:%M:%S')"
 
+    def json_string(self, text: str) -> str:
+        return f"CAST(to_json({text}) AS VARCHAR)"
+
     def uuid(self, name: str) -> str:
         return splice(f"sha1(from_hex('{DEFAULT_IDS.namespace.hex}') || encode({name}))")
 
@@ -52,6 +55,10 @@ class Spark:
     def iso(self, ts: str) -> str:
         return f"date_format({ts}, \"yyyy-MM-dd'T'HH:mm:ss\")"
 
+    def json_string(self, text: str) -> str:
+        document = f"to_json(named_struct('t', {text}))"
+        return f"substr({document}, 6, length({document}) - 6)"
+
     def uuid(self, name: str) -> str:
         return splice(f"sha1(concat(unhex('{DEFAULT_IDS.namespace.hex}'), encode({name}, 'UTF-8')))")
 

@@ -315,3 +315,39 @@ def v_conv_nodes(q):
     return f"""SELECT conv_id, turn, role, text, CAST(conv_id AS STRING) || '.' || CAST(turn AS STRING) AS node_id,
   CASE WHEN turn = 0 THEN NULL WHEN (conv_id + turn) % 7 = 0 THEN 'gone' ELSE CAST(conv_id AS STRING) || '.' || CAST(turn - 1 AS STRING) END AS parent_key
 FROM {q.table('conversations')}"""
+
+
+@view()
+def v_exports(q):
+    """One export document per turn, in twelve shapes (``v``): roots, missing ids, odd mappings, odd messages.
+
+    JSON is written with sorted keys, so that its canonical form is itself.
+    """
+    return f"""SELECT *, CASE v WHEN 0 THEN '{{"conversations":[' || conv_json || ']}}' WHEN 1 THEN '[5,' || conv_json || ']' ELSE '[' || conv_json || ']' END AS body FROM (
+SELECT *, CASE v WHEN 2 THEN '{{' WHEN 10 THEN '{{' ELSE '{{"conversation_id":"' || cid || '",' END || '"create_time":1700000000.5' || CASE v WHEN 10 THEN ',"id":' || cid ELSE '' END
+  || ',"mapping":' || CASE v WHEN 3 THEN '["x"]' WHEN 9 THEN 'null' ELSE '{{' || CASE v WHEN 4 THEN '"bad":7,' ELSE '' END || '"m":' || node_json || ',"root":' || root_json || '}}' END || '}}' AS conv_json
+FROM (SELECT *, '{{"message":' || message_json || ',"parent":"' || CASE v WHEN 8 THEN 'gone' ELSE 'root' END || '"}}' AS node_json,
+  '{{"children":["m"],"message":null,"parent":null}}' AS root_json
+FROM (SELECT *, '{{"author":{{"role":"' || role || '"}},"content":{{"content_type":"' || CASE v WHEN 6 THEN 'thoughts' ELSE 'text' END || '","parts":[' || {q.json_string('text')} || ']}},"create_time":'
+  || CAST(1700000000 + turn AS STRING) || CASE v WHEN 5 THEN '' ELSE ',"id":"' || mid || '"' END || CASE v WHEN 7 THEN ',"metadata":{{"attachments":[{{"id":"a"}}]}}' ELSE '' END || '}}' AS message_json
+FROM (SELECT *, conv_id * 64 + turn AS doc_id, (conv_id + turn) % 12 AS v,
+  CASE (conv_id + turn) % 12 WHEN 10 THEN CAST(conv_id * 1000 + turn AS STRING) ELSE 'c' || CAST(conv_id AS STRING) || '-' || CAST(turn AS STRING) END AS cid,
+  'msg-' || CAST(conv_id AS STRING) || '-' || CAST(CASE WHEN conv_id % 5 = 0 THEN turn - turn % 2 ELSE turn END AS STRING) AS mid
+  FROM {q.table('conversations')}) a) b) c) e"""
+
+
+@view("v_exports")
+def v_conv_stored(q):
+    """Messages of earlier imports: a third the same, a third different, a third not there."""
+    return f"""SELECT {object_id(q, "'chatgpt.message'", 'mid')} AS object_id, 'chatgpt_message_user' AS object_type, 'chatgpt.message' AS source, mid AS source_id,
+  max(CASE WHEN conv_id % 3 = 0 THEN {q.sha('message_json')} ELSE {q.sha("'older'")} END) AS content_hash
+FROM v_exports WHERE conv_id % 3 < 2 AND conv_id % 5 <> 0 AND v NOT IN (2, 3, 5, 9) GROUP BY mid"""
+
+
+@view("v_exports")
+def v_conv_relations(q):
+    """Parent edges of earlier imports, present and stale."""
+    node = lambda key: object_id(q, "'chatgpt.node'", f"(cid || '/{key}')")
+    rows = f"""SELECT 'node_parent' AS relation_type, {node('root')} AS from_object_id, {node('m')} AS to_object_id FROM v_exports WHERE conv_id % 2 = 0 AND v NOT IN (2, 3, 9)
+UNION ALL SELECT 'node_parent' AS relation_type, {node('old')} AS from_object_id, {node('m')} AS to_object_id FROM v_exports WHERE conv_id % 7 = 0 AND v NOT IN (2, 3, 9)"""
+    return f"""SELECT 'kps_rel_' || {q.uuid("('relation:node_parent:' || from_object_id || ':' || to_object_id)")} AS relation_id, relation_type, from_object_id, to_object_id FROM ({rows}) r"""

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import DEFAULT_IDS, IdSpace
 from ..functions.timegeo import unix_to_iso
 from ..operators.upsert import classify, insert_absent, merge_parent_edges
+from ..session import materialise
 from ..sources.conversations import ORDINAL_SPAN, conversation_nodes, ordinal, scan_conversations
 
 # Sources and types of imported objects.
@@ -30,12 +31,17 @@ class ConversationImport:
 def read_import(documents: DataFrame, ids: IdSpace = DEFAULT_IDS, scoped_nodes: bool = True, strict: bool = True) -> ConversationImport:
     """What an export says, as object, edge and diagnostic rows.
 
+    The JSON is parsed once into a written table of nodes; everything else reads that.
     Node keys are unique within their conversation only, so by default the conversation
     is part of a node's identity; ``scoped_nodes=False`` takes keys as global.
     """
-    conversations = scan_conversations(documents, strict)
+    scanned = scan_conversations(documents, strict)
+    # Without an id a conversation is skipped, its nodes with it.
+    skipped = F.when(F.col("conv_id").isNotNull(), F.col("mapping"))
+    rows = materialise(conversation_nodes(scanned.withColumn("mapping", skipped)), "conversation-nodes")
+    conversations = rows.filter(F.coalesce("node_pos", F.lit(0)) == 0)
     known = conversations.filter("conv_id IS NOT NULL")
-    nodes = conversation_nodes(known).filter("node_id IS NOT NULL")
+    nodes = rows.filter("node_id IS NOT NULL")
     scope = F.concat_ws("/", "conv_id", "node_id") if scoped_nodes else F.col("node_id")
     nodes = nodes.withColumn("node_source_id", scope).withColumn(
         "node_oid", ids.object_id(F.lit(NODE), F.col("node_source_id"))
@@ -59,14 +65,14 @@ def read_import(documents: DataFrame, ids: IdSpace = DEFAULT_IDS, scoped_nodes:
         nodes.select(
             F.col("node_oid").alias("object_id"), F.lit("chatgpt_node").alias("object_type"),
             F.lit(NODE).alias("source"), F.col("node_source_id").alias("source_id"),
-            unix_to_iso(F.col("create_time")).alias("occurred_at"), none.alias("parent_id"),
+            unix_to_iso(F.col("message_time")).alias("occurred_at"), none.alias("parent_id"),
             node_place.alias("raw_uri"), F.col("node_hash").alias("content_hash"), none.alias("topic"),
             ordinal(F.col("doc_id"), F.col("conv_pos"), F.col("node_pos"), 1).alias("ordinal"),
         ),
         messages.select(
             F.col("message_oid").alias("object_id"), F.concat(F.lit("chatgpt_message_"), "role").alias("object_type"),
             F.lit(MESSAGE).alias("source"), F.col("message_id").alias("source_id"),
-            unix_to_iso(F.col("create_time")).alias("occurred_at"), F.col("node_oid").alias("parent_id"),
+            unix_to_iso(F.col("message_time")).alias("occurred_at"), F.col("node_oid").alias("parent_id"),
             F.concat(node_place, F.lit("&message="), F.col("message_id")).alias("raw_uri"),
             F.col("message_hash").alias("content_hash"), F.col("content_type").alias("topic"),
             ordinal(F.col("doc_id"), F.col("conv_pos"), F.col("node_pos"), 2).alias("ordinal"),

@@ -22,98 +22,103 @@ def read_exports(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     return reader.text(path).select(F.col("_metadata.file_path").alias("raw_uri"), F.col("value").alias("body"))
 
 
-def _kind(value: Column) -> Column:
-    return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
-
-
-def _is_object(value: Column) -> Column:
-    return _kind(value).startswith("OBJECT")
-
-
 def _get(value: Column, path: str, kind: str) -> Column:
     return F.try_variant_get(value, path, kind)
 
 
-def _truthy(value: Column) -> Column:
-    return ~F.coalesce(F.to_json(value), F.lit("null")).isin("null", "[]", "{}", '""', "0", "false")
+def _text(value: Column) -> Column:
+    """Text of a scalar; empty text counts as absent."""
+    return F.nullif(_get(value, "$", "string"), F.lit(""))
 
 
-def _text(value: Column) -> Column:
-    """Text of a scalar; empty, zero, false and null count as absent."""
-    return F.when(_truthy(value), F.coalesce(_get(value, "$", "string"), F.to_json(value)))
+def _members(value: Column) -> Column:
+    """Members of a JSON object, null for anything else."""
+    return _get(value, "$", "map<string,variant>")
 
 
 def scan_conversations(documents: DataFrame, strict: bool = True) -> DataFrame:
     """Conversations of export documents (``doc_id, raw_uri, body``), in order.
 
     A document is a list or an object with the list ``conversations``; items that are no
-    objects are skipped. With ``single`` documents of one conversation each (JSON lines),
-    use ``scan_lines``. Any other document is an error.
+    objects are skipped. Any other document is an error. For JSON lines, one conversation
+    each, use ``scan_lines``.
     """
-    parsed = documents.withColumn("_doc", F.try_parse_json("body"))
-    listed = F.when(_kind(F.col("_doc")).startswith("ARRAY"), _get(F.col("_doc"), "$", "array<variant>")).when(
-        _is_object(F.col("_doc")), _get(F.col("_doc"), "$.conversations", "array<variant>")
+    parsed = documents.select("doc_id", "raw_uri", F.try_parse_json("body").alias("doc"))
+    listed = F.coalesce(
+        _get(F.col("doc"), "$", "array<variant>"), _get(F.col("doc"), "$.conversations", "array<variant>")
     )
-    parsed = parsed.withColumn("_list", listed)
     if strict:
         problem = F.raise_error(F.concat(F.lit("not a conversation export: "), "raw_uri"))
-        parsed = parsed.withColumn("_list", F.coalesce("_list", problem.cast("array<variant>")))
-    items = parsed.select("doc_id", "raw_uri", F.posexplode("_list").alias("conv_pos", "conv"))
-    return _described(items.filter(_is_object(F.col("conv"))))
+        listed = F.coalesce(listed, problem.cast("array<variant>"))
+    return _described(parsed.select("doc_id", "raw_uri", F.posexplode(listed).alias("conv_pos", "conv")))
 
 
 def scan_lines(documents: DataFrame) -> DataFrame:
     """Conversations of JSON lines: every document is one conversation."""
-    items = documents.select("doc_id", "raw_uri", F.lit(0).alias("conv_pos"), F.try_parse_json("body").alias("conv"))
-    return _described(items.filter(_is_object(F.col("conv"))))
+    return _described(documents.select(
+        "doc_id", "raw_uri", F.lit(0).alias("conv_pos"), F.try_parse_json("body").alias("conv")
+    ))
 
 
 def _described(items: DataFrame) -> DataFrame:
-    conv = F.col("conv")
-    mapping = _get(conv, "$.mapping", "variant")
-    state = F.when(~_truthy(mapping), "empty").when(_is_object(mapping), "object").otherwise("invalid")
-    return items.select(
+    fields = items.select("doc_id", "raw_uri", "conv_pos", "conv", _members(F.col("conv")).alias("f")).filter("f IS NOT NULL")
+    named = lambda name: F.try_element_at("f", F.lit(name))
+    rows = fields.select(
         "doc_id", "raw_uri", "conv_pos",
-        F.coalesce(_text(_get(conv, "$.conversation_id", "variant")), _text(_get(conv, "$.id", "variant"))).alias("conv_id"),
-        _get(conv, "$.create_time", "string").alias("create_time"),
-        F.sha2(F.to_json(conv), 256).alias("content_hash"),
-        state.alias("mapping_state"),
-        F.when(state == "object", mapping).alias("mapping"),
+        F.coalesce(_text(named("conversation_id")), _text(named("id"))).alias("conv_id"),
+        _get(named("create_time"), "$", "string").alias("create_time"),
+        F.sha2(F.to_json("conv"), 256).alias("content_hash"),
+        named("mapping").alias("m"),
+    )
+    kinds = rows.select(
+        "*", _members(F.col("m")).alias("mapping"),
+        F.size(_get(F.col("m"), "$", "array<variant>")).alias("items"),
+        _get(F.col("m"), "$", "string").alias("scalar"),
+    )
+    # Whatever counts as false (null, empty, zero) is an empty mapping, not an invalid one.
+    state = (
+        F.when(F.col("mapping").isNotNull(), "object")
+        .when(F.col("items") > 0, "invalid")
+        .when(~F.coalesce("scalar", F.lit("")).isin("", "0", "false"), "invalid")
+        .otherwise("empty")
     )
+    return kinds.withColumn("mapping_state", state).drop("m", "items", "scalar")
 
 
 def conversation_nodes(conversations: DataFrame) -> DataFrame:
     """One row per mapping entry; conversations without entries keep one row with null node.
 
     Nodes of a conversation come in key order. A node that is no object counts as empty.
+    The columns of the conversation are kept, so this one table says all there is to know
+    about a batch of exports.
     """
-    entries = F.map_entries(F.col("mapping").try_cast("map<string,variant>"))
-    rows = conversations.select(
-        "doc_id", "raw_uri", "conv_pos", "conv_id", "mapping_state", F.posexplode_outer(entries).alias("node_pos", "entry")
+    kept = [name for name in conversations.columns if name != "mapping"]
+    entries = conversations.select(*kept, F.posexplode_outer(F.map_entries("mapping")).alias("node_pos", "entry"))
+    opened = entries.select(
+        *kept, "node_pos", F.col("entry.key").alias("node_id"), F.col("entry.value").alias("value"),
+        _members(F.col("entry.value")).alias("node"),
     )
-    node = F.col("entry.value")
-    is_object = _is_object(node)
-    rows = rows.select(
-        "doc_id", "raw_uri", "conv_pos", "conv_id", "mapping_state", "node_pos",
-        F.col("entry.key").alias("node_id"),
-        is_object.alias("is_object"),
-        F.when(is_object, node).alias("node"),
+    inner = opened.select(
+        *kept, "node_pos", "node_id", F.col("node").isNotNull().alias("is_object"),
+        F.when(F.col("node_id").isNotNull(), F.sha2(
+            F.when(F.col("node").isNotNull(), F.to_json("value")).otherwise(F.lit("{}")), 256
+        )).alias("node_hash"),
+        _get(F.try_element_at("node", F.lit("parent")), "$", "string").alias("parent_key"),
+        F.try_element_at("node", F.lit("message")).alias("message"),
+        _members(F.try_element_at("node", F.lit("message"))).alias("f"),
     )
-    message = _get(F.col("node"), "$.message", "variant")
-    usable = _is_object(message) & _truthy(message)
-    rows = rows.withColumn("message", F.when(usable, message))
-    parent = _get(F.col("node"), "$.parent", "variant")
-    return rows.select(
-        "doc_id", "raw_uri", "conv_pos", "conv_id", "mapping_state", "node_pos", "node_id", "is_object",
-        F.when(F.col("node_id").isNotNull(), F.sha2(F.coalesce(F.to_json("node"), F.lit("{}")), 256)).alias("node_hash"),
-        F.when(_kind(parent) != "VOID", F.coalesce(_get(parent, "$", "string"), F.to_json(parent))).alias("parent_key"),
-        F.col("message").isNotNull().alias("has_message"),
-        _text(_get(F.col("message"), "$.id", "variant")).alias("message_id"),
-        F.coalesce(_text(_get(F.col("message"), "$.author.role", "variant")), F.lit("unknown")).alias("role"),
-        F.coalesce(_text(_get(F.col("message"), "$.content.content_type", "variant")), F.lit("unknown")).alias("content_type"),
-        _get(F.col("message"), "$.create_time", "string").alias("create_time"),
-        F.sha2(F.to_json("message"), 256).alias("message_hash"),
-        _truthy(_get(F.col("message"), "$.metadata.attachments", "variant")).alias("has_attachments"),
+    named = lambda name: F.try_element_at("f", F.lit(name))
+    attachments = F.coalesce(F.to_json(_get(named("metadata"), "$.attachments", "variant")), F.lit("null"))
+    has_message = F.coalesce(F.size("f") > 0, F.lit(False))
+    return inner.select(
+        *kept, "node_pos", "node_id", "is_object", "node_hash", "parent_key",
+        has_message.alias("has_message"),
+        _text(named("id")).alias("message_id"),
+        F.coalesce(F.nullif(_get(named("author"), "$.role", "string"), F.lit("")), F.lit("unknown")).alias("role"),
+        F.coalesce(F.nullif(_get(named("content"), "$.content_type", "string"), F.lit("")), F.lit("unknown")).alias("content_type"),
+        _get(named("create_time"), "$", "string").alias("message_time"),
+        F.when(has_message, F.sha2(F.to_json("message"), 256)).alias("message_hash"),
+        (~attachments.isin("null", "[]", "{}", '""', "0", "false")).alias("has_attachments"),
     )
 
 

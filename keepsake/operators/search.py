@@ -8,13 +8,15 @@ like any other.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.ids import DEFAULT_IDS
-from ..functions.text import VOCABULARY, contains_alias, normalize, snippet, tokens, words
+from ..functions.text import VOCABULARY, contains_alias, normalize, snippet, tokens
 from ..functions.timegeo import has_offset, in_time_range, iso_micros
 from .hotkeys import top_rows
 from .metadata import latest_metadata
@@ -26,66 +28,72 @@ USABLE = ("complete", "partial")
 DEFAULT_CONFIDENCE = 0.5
 
 
-def query_rejects(queries: DataFrame) -> DataFrame:
-    """Queries that cannot be answered, with the reason."""
-    return queries.withColumn("error", query_error()).filter("error IS NOT NULL").select("query_id", "error")
+def _vocabulary(vocabulary: dict[str, tuple[str, ...]]) -> Column:
+    """The vocabulary as one constant array, in order."""
+    rows = []
+    for concept, aliases in vocabulary.items():
+        for alias in aliases:
+            if " ".join(re.findall(r"\w+", alias.casefold())) != alias:
+                raise ValueError(f"write the alias in normal form: {alias!r}")
+            rows.append(F.struct(F.lit(concept).alias("concept"), F.lit(alias).alias("alias")))
+    return F.array(*rows)
+
+
+def concepts(query: Column, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> Column:
+    """Requested concepts in order: vocabulary concepts first, then the remaining words.
+
+    A concept fires when one of its words occurs anywhere in the query, inside other
+    words too; words of the aliases that fired are then not asked for again.
+    """
+    normal = normalize(query)
+    fired = F.filter(_vocabulary(vocabulary), lambda row: normal.contains(row["alias"]))
+    consumed = F.flatten(F.transform(fired, lambda row: F.split(row["alias"], " ")))
+    return F.array_distinct(F.concat(
+        F.transform(fired, lambda row: row["concept"]), F.array_except(tokens(query), consumed)
+    ))
+
 
+def prepare(queries: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+    """Add what each query asks for (``requested``, ``place_words``) and its ``error``, if any."""
+    asked = queries.select(
+        "*", concepts(F.col("query"), vocabulary).alias("requested"),
+        F.array_distinct(tokens(F.coalesce("place", F.lit("")))).alias("place_words"),
+    )
 
-def query_error(vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> Column:
     def bad_time(name: str) -> Column:
         return F.col(name).isNotNull() & iso_micros(F.col(name)).isNull()
 
-    return (
+    error = (
         F.when(F.trim(F.coalesce("query", F.lit(""))) == "", "query must not be empty")
         .when(F.char_length("query") > MAX_QUERY_CHARS, "query is too long")
         .when(~F.coalesce(F.col("k").between(1, MAX_LIMIT), F.lit(False)), "limit must be between 1 and 100")
-        .when(F.size(concepts(F.col("query"), vocabulary)) == 0, "query has no searchable terms")
+        .when(F.size("requested") == 0, "query has no searchable terms")
         .when(bad_time("time_from"), "invalid time_from")
         .when(bad_time("time_to"), "invalid time_to")
         .when(F.col("time_from").isNotNull() & F.col("time_to").isNotNull()
               & (has_offset(F.col("time_from")) != has_offset(F.col("time_to"))), "incompatible time filters")
     )
+    return asked.withColumn("error", error)
 
 
-def concepts(query: Column, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> Column:
-    """Requested concepts in order: vocabulary concepts first, then the remaining words.
+def query_rejects(prepared: DataFrame) -> DataFrame:
+    """Queries that cannot be answered, with the reason."""
+    return prepared.filter("error IS NOT NULL").select("query_id", "error")
 
-    A concept fires when one of its words occurs anywhere in the query, inside other
-    words too; words of the aliases that fired are then not asked for again.
-    """
-    normal = normalize(query)
-    fired, consumed = [], [F.array().cast("array<string>")]
-    for concept, aliases in vocabulary.items():
-        hits = [normal.contains(normalize(F.lit(alias))) for alias in aliases]
-        any_hit = hits[0]
-        for hit in hits[1:]:
-            any_hit = any_hit | hit
-        fired.append(F.when(any_hit, F.lit(concept)))
-        consumed += [
-            F.when(hit, words(F.lit(alias))).otherwise(F.array().cast("array<string>"))
-            for hit, alias in zip(hits, aliases)
-        ]
-    free = F.array_except(tokens(query), F.concat(*consumed))
-    named = F.filter(F.array(*fired), lambda concept: concept.isNotNull())
-    return F.array_distinct(F.concat(named, free))
-
-
-def query_concepts(queries: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+
+def query_concepts(prepared: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
     """Rows ``query_id, concept_rank, concept, needle``: what to look for, per query."""
-    table = F.create_map(*[
-        part for concept, aliases in vocabulary.items()
-        for part in (F.lit(concept), F.array(*[normalize(F.lit(alias)) for alias in aliases]))
-    ])
-    ranked = queries.select("query_id", F.posexplode(concepts(F.col("query"), vocabulary)).alias("concept_rank", "concept"))
-    needles = F.coalesce(F.try_element_at(table, F.col("concept")), F.array(F.col("concept")))
+    ranked = prepared.select("query_id", F.posexplode("requested").alias("concept_rank", "concept"))
+    named = F.transform(
+        F.filter(_vocabulary(vocabulary), lambda row: row["concept"] == F.col("concept")), lambda row: row["alias"]
+    )
+    needles = F.when(F.size(named) > 0, named).otherwise(F.array("concept"))
     return ranked.select("query_id", "concept_rank", "concept", F.explode(F.array_distinct(needles)).alias("needle"))
 
 
-def place_needles(queries: DataFrame) -> DataFrame:
+def place_needles(prepared: DataFrame) -> DataFrame:
     """Words of the place filter; they are not expanded to concepts."""
-    return queries.filter(F.coalesce("place", F.lit("")) != "").select(
-        "query_id", F.explode(F.array_distinct(tokens(F.col("place")))).alias("needle")
-    )
+    return prepared.select("query_id", F.explode("place_words").alias("needle"))
 
 
 def usable_results(results: DataFrame) -> DataFrame:
@@ -126,57 +134,52 @@ def evidence(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
 
 @dataclass(frozen=True)
 class Needles:
-    """Distinct words and phrases asked for, and the shapes they come in."""
+    """Distinct words asked for, the lengths they have, and the phrases among them.
+
+    Only vocabulary aliases are phrases, so their number is fixed by the vocabulary.
+    """
 
     table: DataFrame
     lengths: tuple[int, ...]
-    phrase_words: tuple[int, ...]
-    broadcast: bool
+    phrases: tuple[str, ...]
+    small: bool
 
     @classmethod
     def of(cls, frames: list[DataFrame]) -> "Needles":
-        table = frames[0].select("needle")
-        for frame in frames[1:]:
-            table = table.unionByName(frame.select("needle"))
-        table = table.filter("needle <> ''").distinct()
+        table = reduce(DataFrame.unionByName, [frame.select("needle") for frame in frames]).distinct()
         phrase = F.col("needle").contains(" ")
-        # One small row: the number of needles and their lengths, bounded by the query length.
+        # One small row: lengths are bounded by the query length, phrases by the vocabulary.
         shape = table.agg(
             F.count("*").alias("n"),
             F.collect_set(F.when(~phrase, F.char_length("needle"))).alias("lengths"),
-            F.collect_set(F.when(phrase, F.size(F.split("needle", " ")))).alias("phrases"),
+            F.collect_set(F.when(phrase, F.col("needle"))).alias("phrases"),
         ).first()
         return cls(table, tuple(sorted(shape["lengths"])), tuple(sorted(shape["phrases"])), shape["n"] <= BROADCAST_NEEDLES)
 
     def side(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.broadcast else df
+        return F.broadcast(df) if self.small else df
 
 
 def match(pieces: DataFrame, needles: Needles) -> DataFrame:
     """Pairs of evidence row and needle found in its ``text`` (which is dropped).
 
-    A word needle is found as the start of any word: every word offers its prefixes of
-    the lengths asked for, and equality does the rest. A phrase is found as a run of
-    whole words. Equality joins replace a text scan per needle.
+    A word needle is found as the start of any word: every distinct word offers its
+    prefixes of the lengths asked for, and an equality join does the rest instead of a
+    text scan per needle. The few phrases are looked up in the text directly.
     """
     kept = [name for name in pieces.columns if name != "text"]
-    found = None
-    if needles.lengths:
-        word = pieces.select(*kept, F.explode(F.array_distinct(words(F.col("text")))).alias("_word"))
-        prefixes = F.array(*[
-            F.when(F.char_length("_word") >= size, F.substring("_word", 1, size)) for size in needles.lengths
-        ])
-        starts = word.select(*kept, F.explode(prefixes).alias("needle")).filter("needle IS NOT NULL")
-        found = starts
-    if needles.phrase_words:
-        split = pieces.select(*kept, words(F.col("text")).alias("_words"))
-        for size in needles.phrase_words:
-            runs = F.transform(
-                F.when(F.size("_words") >= size, F.sequence(F.lit(1), F.size("_words") - (size - 1))),
-                lambda start, size=size: F.array_join(F.slice(F.col("_words"), start, F.lit(size)), " "),
-            )
-            phrases = split.select(*kept, F.explode(F.array_distinct(runs)).alias("needle"))
-            found = phrases if found is None else found.unionByName(phrases)
+    normal = pieces.select(*kept, F.concat(F.lit(" "), normalize(F.col("text")), F.lit(" ")).alias("_normal"))
+    offered = F.array_distinct(F.split("_normal", " "))
+    if needles.phrases:
+        offered = F.concat(offered, F.array(*[
+            F.when(F.col("_normal").contains(f" {phrase} "), F.lit(phrase)) for phrase in needles.phrases
+        ]))
+    word = normal.select(*kept, F.explode(offered).alias("_word")).filter("_word <> ''")
+    phrase = F.col("_word").contains(" ")
+    prefixes = [F.when(~phrase & (F.char_length("_word") >= size), F.substring("_word", 1, size)) for size in needles.lengths]
+    if needles.phrases:
+        prefixes.append(F.when(phrase, F.col("_word")))
+    found = word.select(*kept, F.explode(F.array(*prefixes)).alias("needle")).filter("needle IS NOT NULL")
     return found.join(needles.side(needles.table), "needle", "left_semi")
 
 
@@ -218,16 +221,17 @@ def passes_filters() -> Column:
     ) & in_time_range(when, F.col("time_from"), F.col("time_to"))
 
 
-def query_matches(tables: dict[str, DataFrame], queries: DataFrame,
+def query_matches(tables: dict[str, DataFrame], prepared: DataFrame,
                   vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
     """One row per query, object and evidence: the concepts (or place words) it matches."""
-    asked = query_concepts(queries, vocabulary)
-    places = place_needles(queries)
+    asked = query_concepts(prepared, vocabulary)
+    places = place_needles(prepared)
     needles = Needles.of([asked, places])
     roles = asked.select("query_id", "needle", "concept", F.lit("concept").alias("role")).unionByName(
         places.select("query_id", "needle", F.col("needle").alias("concept"), F.lit("place").alias("role"))
     )
-    hits = matched_evidence(tables, needles).join(needles.side(roles), "needle", "inner")
+    few = _few(roles)
+    hits = matched_evidence(tables, needles).join(F.broadcast(roles) if few else roles, "needle", "inner")
     hits = hits.filter((F.col("role") == "concept") | F.col("is_place"))
     # Concepts per evidence row are bounded by the query.
     return hits.groupBy("query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "role").agg(
@@ -235,14 +239,9 @@ def query_matches(tables: dict[str, DataFrame], queries: DataFrame,
     )
 
 
-def score_hits(matches: DataFrame, tables: dict[str, DataFrame], queries: DataFrame,
-               vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+def score_hits(matches: DataFrame, tables: dict[str, DataFrame], prepared: DataFrame) -> DataFrame:
     """Every hit of every query with its score, before any limit."""
-    info = queries.select(
-        "query_id", "k", "media_type", "time_from", "time_to",
-        concepts(F.col("query"), vocabulary).alias("requested"),
-        F.array_distinct(tokens(F.coalesce("place", F.lit("")))).alias("place_words"),
-    )
+    info = prepared.select("query_id", "k", "media_type", "time_from", "time_to", "requested", "place_words")
     is_concept = F.col("role") == "concept"
     rows = matches.select(
         "query_id", "object_id", "role", "confidence", F.posexplode("concepts").alias("nth", "concept")
@@ -254,7 +253,7 @@ def score_hits(matches: DataFrame, tables: dict[str, DataFrame], queries: DataFr
         F.count_if(once).alias("n_evidence"),
         F.coalesce(F.avg(F.when(once, F.col("confidence"))), F.lit(DEFAULT_CONFIDENCE)).alias("mean_confidence"),
     ).filter(F.size("matched") > 0)
-    per_object = per_object.join(F.broadcast(info) if _few(queries) else info, "query_id", "inner")
+    per_object = per_object.join(F.broadcast(info) if _few(prepared) else info, "query_id", "inner")
     per_object = per_object.filter(F.col("n_place") == F.size("place_words"))
     objects = candidates(tables).select("object_id", "object_type", "raw_uri", "occurred_at", "captured_at")
     joined = per_object.join(objects, "object_id", "inner").filter(passes_filters())
@@ -276,9 +275,9 @@ def score_hits(matches: DataFrame, tables: dict[str, DataFrame], queries: DataFr
     )
 
 
-def _few(queries: DataFrame) -> bool:
-    """Whether the query table is small enough to broadcast; reads at most one row over the bound."""
-    return queries.limit(BROADCAST_NEEDLES + 1).count() <= BROADCAST_NEEDLES
+def _few(df: DataFrame) -> bool:
+    """Whether a table is small enough to broadcast; reads at most one row over the bound."""
+    return df.limit(BROADCAST_NEEDLES + 1).count() <= BROADCAST_NEEDLES
 
 
 def top_hits(scored: DataFrame) -> DataFrame:
@@ -287,16 +286,14 @@ def top_hits(scored: DataFrame) -> DataFrame:
     return best.filter(F.col("rank") <= F.col("k")).drop("k")
 
 
-def summarise(scored: DataFrame, queries: DataFrame,
-              vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+def summarise(scored: DataFrame, prepared: DataFrame) -> DataFrame:
     """Per query: concepts no hit has (before the limit), and whether it is best effort."""
     # Matched concepts per query are bounded by the query; sets combine before the shuffle.
     found = scored.select("query_id", F.explode("matched").alias("concept"), (F.size("missing") == 0).alias("full"))
     state = found.groupBy("query_id").agg(
         F.collect_set("concept").alias("found"), F.bool_or("full").alias("any_full"),
     )
-    asked = queries.select("query_id", concepts(F.col("query"), vocabulary).alias("requested"))
-    joined = asked.join(state, "query_id", "left")
+    joined = prepared.select("query_id", "requested").join(state, "query_id", "left")
     found = F.coalesce("found", F.array().cast("array<string>"))
     unsupported = F.array_except("requested", found)
     has_hits = F.col("any_full").isNotNull()
@@ -325,13 +322,13 @@ def search(tables: dict[str, DataFrame], queries: DataFrame,
     Queries with errors are left out; see ``query_rejects``. Only the top hits carry
     their evidence rows, and a snippet is cut only for those.
     """
-    valid = queries.filter(query_error(vocabulary).isNull())
+    valid = prepare(queries, vocabulary).filter("error IS NULL")
     matches = query_matches(tables, valid, vocabulary)
-    scored = score_hits(matches, tables, valid, vocabulary)
+    scored = score_hits(matches, tables, valid)
     hits = top_hits(scored)
     wanted = hits.select("query_id", "object_id")
     rows = matches.filter("role = 'concept'").join(wanted, ["query_id", "object_id"], "left_semi")
-    return SearchAnswer(hits, rows, summarise(scored, valid, vocabulary))
+    return SearchAnswer(hits, rows, summarise(scored, valid))
 
 
 def evidence_snippets(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -362,18 +359,18 @@ def evidence_snippets(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFram
     )
 
 
-def scan_matches(tables: dict[str, DataFrame], queries: DataFrame,
+def scan_matches(tables: dict[str, DataFrame], prepared: DataFrame,
                  vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
     """The plain form of ``query_matches``: every evidence text is tested for every needle.
 
     Kept as the yardstick of the rank parity report; needs a query table small enough to
     broadcast and says so otherwise.
     """
-    if not _few(queries):
-        raise ValueError("plain matching is for small query tables")
-    asked = query_concepts(queries, vocabulary).withColumn("role", F.lit("concept"))
-    places = place_needles(queries).select("query_id", F.lit(-1).alias("concept_rank"), F.col("needle").alias("concept"), "needle", F.lit("place").alias("role"))
+    asked = query_concepts(prepared, vocabulary).select("query_id", "concept", "needle", F.lit("concept").alias("role"))
+    places = place_needles(prepared).select("query_id", F.col("needle").alias("concept"), "needle", F.lit("place").alias("role"))
     wanted = asked.unionByName(places)
+    if not _few(wanted):
+        raise ValueError("plain matching is for small query tables")
     rows = evidence(tables)
     owners = usable_results(tables["semantic_results"]).select("object_id", "semantic_result_id", "semantic_type", "confidence")
     rows["target"] = rows["target"].join(owners, "semantic_result_id", "inner").withColumnRenamed("semantic_result_id", "evidence_id")

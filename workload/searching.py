@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keepsake import shared_dir
 from keepsake.functions.ids import DEFAULT_IDS
 from keepsake.operators import compact, search
+from keepsake.sources.tables import read_archive, write_snapshot
 
 from .fragments import CONCEPT_CTES, collapse, found_in, norm, toks
 from .registry import query
@@ -15,14 +17,29 @@ TABLES = ("v_objects", "v_attachments", "v_results", "v_semantic_relations", "v_
 SEARCH_VIEWS = (*TABLES, "v_queries")
 
 
-def archive(spark, d):
-    """The searchable archive by table name."""
+_WRITTEN: dict[tuple[str, str], str] = {}
+
+
+def index_tables(spark, d):
+    """The tables of the searchable archive, made from the given data."""
     names = ("objects", "attachments", "semantic_results", "semantic_relations", "metadata_extractions", "relations")
     return {name: load(spark, d, view).drop("doc_id", "kind") for name, view in zip(names, TABLES)}
 
 
+def archive(spark, d):
+    """The same tables as a written index, as searches use it; written once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    tables = index_tables(spark, d)
+    if key not in _WRITTEN:
+        root = shared_dir(spark, "archive-index")
+        write_snapshot(tables, root)
+        _WRITTEN[key] = root
+    return read_archive(spark, _WRITTEN[key], list(tables))
+
+
 def asked(spark, d):
-    return load(spark, d, "v_queries")
+    """Prepared queries."""
+    return search.prepare(load(spark, d, "v_queries"))
 
 
 LATEST = "SELECT * FROM v_extractions QUALIFY row_number() OVER (PARTITION BY object_id ORDER BY extracted_at DESC, extraction_id DESC) = 1"
@@ -77,7 +94,7 @@ def query_rejects(spark, d):
         F.when(n == 2, 101).otherwise(100).alias("k"),
         F.when(n == 4, "last week").when(n == 6, "2024-01-01").otherwise(none).alias("time_from"),
         F.when(n == 5, "2024-02-30").when(n == 6, "2024-02-01T00:00:00Z").otherwise(none).alias("time_to"))
-    return search.query_rejects(queries)
+    return search.query_rejects(search.prepare(queries.withColumn("place", F.lit(None).cast("string"))))
 
 
 HIT_SQL = "query_id, rank, object_id, object_type, score, reason, array_to_string(missing, ',') AS missing, n_evidence"
@@ -85,13 +102,13 @@ HIT_SQL = "query_id, rank, object_id, object_type, score, reason, array_to_strin
 
 @query("search", EVIDENCE_CTES + f"SELECT {HIT_SQL} FROM hits", views=SEARCH_VIEWS)
 def best_hits(spark, d):
-    return search.search(archive(spark, d), asked(spark, d)).hits.select(
+    return search.search(archive(spark, d), load(spark, d, "v_queries")).hits.select(
         "query_id", "rank", "object_id", "object_type", "score", "reason", F.array_join("missing", ",").alias("missing"), "n_evidence")
 
 
 @query("search_topk", EVIDENCE_CTES + "SELECT query_id, rank, object_id FROM hits", views=SEARCH_VIEWS)
 def search_topk(spark, d):
-    return search.search(archive(spark, d), asked(spark, d)).hits.select("query_id", "rank", "object_id")
+    return search.search(archive(spark, d), load(spark, d, "v_queries")).hits.select("query_id", "rank", "object_id")
 
 
 def all_hits(spark, d):
@@ -122,7 +139,7 @@ s AS (SELECT query_id, requested, list_filter(requested, lambda c: NOT list_cont
 SELECT query_id, array_to_string(requested, ',') AS requested, array_to_string(unsupported, ',') AS unsupported, len(unsupported) > 0 OR coalesce(NOT any_full, false) AS best_effort,
  CASE WHEN len(unsupported) > 0 THEN 'Current derived semantic evidence cannot verify: ' || array_to_string(unsupported, ', ') || '. Results are the closest candidates and must not be treated as canonical truth.' END AS explanation FROM s""", views=SEARCH_VIEWS)
 def search_summary(spark, d):
-    return search.search(archive(spark, d), asked(spark, d)).summary.select(
+    return search.search(archive(spark, d), load(spark, d, "v_queries")).summary.select(
         "query_id", F.array_join("requested", ",").alias("requested"), F.array_join("unsupported", ",").alias("unsupported"), "best_effort", "explanation")
 
 
@@ -137,7 +154,7 @@ SELECT query_id, rank, object_id, score, occurred_at, reason, '{DEFAULT_IDS.ref_
  array_to_string(missing, ',') AS missing_evidence, false AS is_fact, source_content_hashes, n_results, first_result_id FROM hits JOIN src USING (query_id, object_id)""", views=SEARCH_VIEWS)
 def search_public(spark, d):
     tables = archive(spark, d)
-    answer = search.search(tables, asked(spark, d))
+    answer = search.search(tables, load(spark, d, "v_queries"))
     shown = search.evidence_snippets(answer.evidence, tables)
     return compact.public_hits(answer.hits, shown).select(
         "query_id", "rank", "object_id", "score", "occurred_at", "reason", "safe_ref", "assessment",
@@ -152,7 +169,7 @@ def search_public(spark, d):
 SELECT * FROM known UNION ALL SELECT query_id, object_id, CASE WHEN c = 'swimwear' THEN 'object' ELSE 'metadata' END, 'unconfirmed: ' || c, 0.0::DOUBLE, false, 'inference' FROM (SELECT query_id, object_id, unnest(missing) AS c FROM hits) u""", views=SEARCH_VIEWS)
 def evidence_compact(spark, d):
     tables = archive(spark, d)
-    answer = search.search(tables, asked(spark, d))
+    answer = search.search(tables, load(spark, d, "v_queries"))
     return compact.compact_hits(answer.hits, search.evidence_snippets(answer.evidence, tables))
 
 
@@ -177,7 +194,7 @@ def media_details(spark, d):
 
 @query("search_enriched", EVIDENCE_CTES + DETAILS + "SELECT query_id, rank, h.object_id, h.score, det.caption, det.concepts, det.latitude, det.occurred_at AS shown_at FROM hits h LEFT JOIN det ON det.object_id = h.object_id", views=SEARCH_VIEWS)
 def search_enriched(spark, d):
-    hits = search.search(archive(spark, d), asked(spark, d)).hits.select("query_id", "rank", "object_id", "score")
+    hits = search.search(archive(spark, d), load(spark, d, "v_queries")).hits.select("query_id", "rank", "object_id", "score")
     return compact.enrich(hits, details(spark, d)).select("query_id", "rank", "object_id", "score", "caption", "concepts", "latitude", "shown_at")
 
 

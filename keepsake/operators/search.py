@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +17,7 @@ from pyspark.sql import functions as F
 from ..functions.ids import DEFAULT_IDS
 from ..functions.text import VOCABULARY, contains_alias, normalize, snippet, tokens
 from ..functions.timegeo import has_offset, in_time_range, iso_micros
+from ..session import materialise
 from .hotkeys import top_rows
 from .metadata import latest_metadata
 
@@ -54,7 +54,10 @@ def concepts(query: Column, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY)
 
 
 def prepare(queries: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
-    """Add what each query asks for (``requested``, ``place_words``) and its ``error``, if any."""
+    """Add what each query asks for (``requested``, ``place_words``) and its ``error``, if any.
+
+    The result is a written table: everything that follows joins it several times.
+    """
     asked = queries.select(
         "*", concepts(F.col("query"), vocabulary).alias("requested"),
         F.array_distinct(tokens(F.coalesce("place", F.lit("")))).alias("place_words"),
@@ -73,7 +76,7 @@ def prepare(queries: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABUL
         .when(F.col("time_from").isNotNull() & F.col("time_to").isNotNull()
               & (has_offset(F.col("time_from")) != has_offset(F.col("time_to"))), "incompatible time filters")
     )
-    return asked.withColumn("error", error)
+    return materialise(asked.withColumn("error", error), "queries")
 
 
 def query_rejects(prepared: DataFrame) -> DataFrame:
@@ -145,8 +148,8 @@ class Needles:
     small: bool
 
     @classmethod
-    def of(cls, frames: list[DataFrame]) -> "Needles":
-        table = reduce(DataFrame.unionByName, [frame.select("needle") for frame in frames]).distinct()
+    def of(cls, roles: DataFrame) -> "Needles":
+        table = roles.select("needle").distinct()
         phrase = F.col("needle").contains(" ")
         # One small row: lengths are bounded by the query length, phrases by the vocabulary.
         shape = table.agg(
@@ -226,10 +229,11 @@ def query_matches(tables: dict[str, DataFrame], prepared: DataFrame,
     """One row per query, object and evidence: the concepts (or place words) it matches."""
     asked = query_concepts(prepared, vocabulary)
     places = place_needles(prepared)
-    needles = Needles.of([asked, places])
     roles = asked.select("query_id", "needle", "concept", F.lit("concept").alias("role")).unionByName(
         places.select("query_id", "needle", F.col("needle").alias("concept"), F.lit("place").alias("role"))
     )
+    roles = materialise(roles, "needles")
+    needles = Needles.of(roles)
     few = _few(roles)
     hits = matched_evidence(tables, needles).join(F.broadcast(roles) if few else roles, "needle", "inner")
     hits = hits.filter((F.col("role") == "concept") | F.col("is_place"))
@@ -323,7 +327,8 @@ def search(tables: dict[str, DataFrame], queries: DataFrame,
     their evidence rows, and a snippet is cut only for those.
     """
     valid = prepare(queries, vocabulary).filter("error IS NULL")
-    matches = query_matches(tables, valid, vocabulary)
+    # Hits, evidence and summary all come from the matches, so these are found once.
+    matches = materialise(query_matches(tables, valid, vocabulary), "matches")
     scored = score_hits(matches, tables, valid)
     hits = top_hits(scored)
     wanted = hits.select("query_id", "object_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.quality import snapshot_diff
+from ..session import materialise
 from .ingest import ingest
 
 
@@ -29,10 +30,14 @@ def idempotence_report(first: DataFrame, second: DataFrame, counts_first: DataFr
 
 
 def ingest_twice(items: DataFrame, objects: DataFrame, versions: DataFrame):
-    """The same batch against the stored state and against the state it leads to."""
+    """The same batch against the stored state and against the state it leads to.
+
+    The state in between is written, as it is between two real runs.
+    """
     first = ingest(items, objects, versions)
-    grown = versions.unionByName(first.new_versions.select(*versions.columns))
-    return first, grown, ingest(items, first.objects, grown)
+    state = materialise(first.objects, "state-objects")
+    grown = materialise(versions.unionByName(first.new_versions.select(*versions.columns)), "state-versions")
+    return first, state, grown, ingest(items, state, grown)
 
 
 def provider_roundtrip(listing: DataFrame, first: DataFrame, second: DataFrame, objects: DataFrame) -> DataFrame:

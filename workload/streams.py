@@ -1 +1,49 @@
-"""placeholder"""
+"""Incremental ingest as a stream, and trailing-window admission."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from keepsake import shared_dir
+from keepsake.operators.admission import replay_admission
+from keepsake.streaming import ingest as stream
+
+from .dialects import Spark, object_id
+from .fragments import DUCK
+from .registry import query
+from .views import load, v_items1
+
+LIMIT, DAY = 2, 86_400
+
+
+class Incoming(Spark):
+    """The Spark dialect with one table replaced by a stream."""
+
+    def __init__(self, name: str, view: str):
+        self.name, self.view = name, view
+
+    def table(self, name: str) -> str:
+        return self.view
+
+
+@query("stream_ingest", f"SELECT {object_id(DUCK, 'source', 'source_id')} AS object_id, source_id, content_hash, captured_at, metadata_json, CAST(1 AS BIGINT) AS version FROM v_items1", views=("v_items1",))
+def stream_ingest(spark, d):
+    schema = load(spark, d, "documents").schema
+    documents = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").option("maxFilesPerTrigger", 1).parquet(d)
+    documents.createOrReplaceTempView("incoming_documents")
+    items = spark.sql(v_items1(Incoming("documents", "incoming_documents")))
+    root = shared_dir(spark, "delivery-log")
+    stream.start(items, f"{root}/log", f"{root}/checkpoint").awaitTermination()
+    log = stream.read_log(spark, f"{root}/log")
+    versions = stream.versions_of(log)
+    return stream.objects_of(log).join(versions, ["object_id", "content_hash"]).select(
+        "object_id", "source_id", "content_hash", "captured_at", "metadata_json", "version")
+
+
+@query("admission_replay", f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+r AS (SELECT user_id, rn, event_id, [s] AS state, true AS admitted FROM e WHERE rn = 1
+UNION ALL SELECT e.user_id, e.rn, e.event_id, CASE WHEN len(list_filter(r.state, lambda x: x > e.s - {DAY}000000)) < {LIMIT} THEN list_append(list_filter(r.state, lambda x: x > e.s - {DAY}000000), e.s) ELSE r.state END,
+ len(list_filter(r.state, lambda x: x > e.s - {DAY}000000)) < {LIMIT} FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1)
+SELECT event_id AS request_id, admitted FROM r""")
+def admission_replay(spark, d):
+    return replay_admission(load(spark, d, "v_audit").select("request_id", "principal", "stamp"), LIMIT, DAY).select("request_id", "admitted")

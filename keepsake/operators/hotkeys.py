@@ -42,8 +42,8 @@ def with_chunks(
     """Add ``_chunk``: 0 for cold keys, the ordinal divided by the span for hot ones."""
     hot = hot_keys(df, keys, hot_rows).withColumn("_is_hot", F.lit(True))
     marked = df.withColumn("_hot", key_hash(keys)).join(F.broadcast(hot), "_hot", "left")
-    chunk = F.when(F.col("_is_hot"), F.floor(F.col(order) / chunk_span)).otherwise(F.lit(0))
-    return marked.withColumn("_chunk", chunk.cast("long")).drop("_hot")
+    chunk = F.when(F.col("_is_hot"), F.expr(f"{order} div {chunk_span}L")).otherwise(F.lit(0).cast("long"))
+    return marked.withColumn("_chunk", chunk).drop("_hot")
 
 
 def ordered_lag(

@@ -46,6 +46,8 @@ def read_import(documents: DataFrame, ids: IdSpace = DEFAULT_IDS, scoped_nodes:
     nodes = nodes.withColumn("node_source_id", scope).withColumn(
         "node_oid", ids.object_id(F.lit(NODE), F.col("node_source_id"))
     ).withColumn("conv_oid", ids.object_id(F.lit(CONVERSATION), F.col("conv_id")))
+    linked = resolve_parents(nodes)
+    parents = linked.select("ordinal", "conv_id", "node_id", "parent_key", F.col("node_oid").alias("child_id"), "parent_id", "parent_missing")
     messages = nodes.filter("message_id IS NOT NULL").withColumn(
         "message_oid", ids.object_id(F.lit(MESSAGE), F.col("message_id"))
     )
@@ -62,12 +64,12 @@ def read_import(documents: DataFrame, ids: IdSpace = DEFAULT_IDS, scoped_nodes:
             place.alias("raw_uri"), "content_hash", none.alias("topic"),
             ordinal(F.col("doc_id"), F.col("conv_pos"), F.lit(0), 0).alias("ordinal"),
         ),
-        nodes.select(
+        linked.select(
             F.col("node_oid").alias("object_id"), F.lit("chatgpt_node").alias("object_type"),
             F.lit(NODE).alias("source"), F.col("node_source_id").alias("source_id"),
-            unix_to_iso(F.col("message_time")).alias("occurred_at"), none.alias("parent_id"),
+            unix_to_iso(F.col("message_time")).alias("occurred_at"), "parent_id",
             node_place.alias("raw_uri"), F.col("node_hash").alias("content_hash"), none.alias("topic"),
-            ordinal(F.col("doc_id"), F.col("conv_pos"), F.col("node_pos"), 1).alias("ordinal"),
+            "ordinal",
         ),
         messages.select(
             F.col("message_oid").alias("object_id"), F.concat(F.lit("chatgpt_message_"), "role").alias("object_type"),
@@ -87,27 +89,20 @@ def read_import(documents: DataFrame, ids: IdSpace = DEFAULT_IDS, scoped_nodes:
         F.lit("node_contains_message").alias("relation_type"),
         F.col("node_oid").alias("from_object_id"), F.col("message_oid").alias("to_object_id"),
     ))
-    parents = resolve_parents(nodes)
-    return ConversationImport(with_node_parents(objects, parents), edges, parents, _diagnostics(conversations, known, nodes, parents))
-
-
-def with_node_parents(objects: DataFrame, parents: DataFrame) -> DataFrame:
-    """Nodes carry the parent their own delivery names (ordinals are unique)."""
-    own = parents.filter("parent_id IS NOT NULL").select("ordinal", F.col("parent_id").alias("_parent"))
-    joined = objects.join(own, "ordinal", "left")
-    return joined.withColumn("parent_id", F.coalesce("_parent", "parent_id")).drop("_parent")
+    return ConversationImport(objects, edges, parents, _diagnostics(conversations, known, nodes, parents))
 
 
 def resolve_parents(nodes: DataFrame) -> DataFrame:
-    """Parent of each node inside its own conversation; ``parent_missing`` if it names none there."""
+    """Nodes with the parent they name inside their own conversation.
+
+    ``parent_missing`` tells a parent that is not there from a root. A parent of very
+    many nodes only repeats on the left side of the join, which may be split.
+    """
     key = ["doc_id", "conv_pos", "parent_key"]
     there = nodes.select("doc_id", "conv_pos", F.col("node_id").alias("parent_key"), F.col("node_oid").alias("parent_id"))
-    joined = nodes.join(there, key, "left")
-    return joined.select(
-        ordinal(F.col("doc_id"), F.col("conv_pos"), F.col("node_pos"), 1).alias("ordinal"),
-        "conv_id", "node_id", "parent_key", F.col("node_oid").alias("child_id"), "parent_id",
-        (F.col("parent_key").isNotNull() & F.col("parent_id").isNull()).alias("parent_missing"),
-    )
+    return nodes.join(there, key, "left").withColumn(
+        "ordinal", ordinal(F.col("doc_id"), F.col("conv_pos"), F.col("node_pos"), 1)
+    ).withColumn("parent_missing", F.col("parent_key").isNotNull() & F.col("parent_id").isNull())
 
 
 def _diagnostics(conversations: DataFrame, known: DataFrame, nodes: DataFrame, parents: DataFrame) -> DataFrame:

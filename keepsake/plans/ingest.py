@@ -13,6 +13,7 @@ from ..operators.upsert import (
     BINARY_TYPES, append_versions, apply_outcomes, attachment_rows, blob_rows, classify,
     delivery_fingerprint, location_rows, refresh_versions,
 )
+from ..session import materialise
 
 DESCRIPTIVE = ["object_type", "occurred_at", "captured_at", "raw_uri", "mime_type", "metadata_json"]
 
@@ -61,9 +62,14 @@ class IngestResult:
 
 
 def ingest(items: DataFrame, objects: DataFrame, versions: DataFrame, ids: IdSpace = DEFAULT_IDS, **hot) -> IngestResult:
-    """Merge a batch of valid items into the stored tables."""
-    incoming = identify(items, ids)
-    outcomes = classify(incoming, objects.withColumn("fingerprint", delivery_fingerprint()), **hot)
+    """Merge a batch of valid items into the stored tables.
+
+    Identified rows are written once, so content is read and hashed once; outcomes are
+    written because all the other tables come from them.
+    """
+    incoming = materialise(identify(items, ids), "deliveries")
+    known = objects.withColumn("fingerprint", delivery_fingerprint())
+    outcomes = materialise(classify(incoming, known, **hot), "outcomes")
     written = outcomes.withColumn("parent_id", F.lit(None).cast("string")).withColumn(
         "topic", F.lit(None).cast("string")
     ).withColumn("created_at", F.col("captured_at"))

@@ -18,8 +18,7 @@ def read_exports(spark: SparkSession, path: str, lines: bool = False) -> DataFra
     A document is read by one task; exports too large for that are stored as JSON lines,
     one conversation per line, which split like any text.
     """
-    reader = spark.read if lines else spark.read.option("wholetext", "true")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("raw_uri"), F.col("value").alias("body"))
+    return spark.read.text(path, wholetext=not lines).select(F.col("_metadata.file_path").alias("raw_uri"), F.col("value").alias("body"))
 
 
 def _get(value: Column, path: str, kind: str) -> Column:

@@ -183,14 +183,15 @@ def match(pieces: DataFrame, needles: Needles) -> DataFrame:
     if needles.phrases:
         prefixes.append(F.when(phrase, F.col("_word")))
     found = word.select(*kept, F.explode(F.array(*prefixes)).alias("needle")).filter("needle IS NOT NULL")
-    return found.join(needles.side(needles.table), "needle", "left_semi")
+    # Several words start alike: one row per needle, before queries multiply it.
+    return found.join(needles.side(needles.table), "needle", "left_semi").distinct()
 
 
 def matched_evidence(tables: dict[str, DataFrame], needles: Needles) -> DataFrame:
     """Rows ``object_id, evidence_id, evidence_kind, is_place, confidence, needle``, repeats possible."""
     rows = evidence(tables)
     columns = ["object_id", "evidence_id", "semantic_type", "confidence", "needle"]
-    targets = match(rows["target"], needles).distinct()
+    targets = match(rows["target"], needles)
     owners = usable_results(tables["semantic_results"]).select(
         "object_id", F.col("semantic_result_id"), "semantic_type", "confidence"
     )

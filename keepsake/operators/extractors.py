@@ -118,9 +118,14 @@ def caption_output() -> Column:
 
 def mean_score(scores: Column) -> Column:
     """Mean of the scores present, 6 digits; null when there is none."""
-    present = F.filter(scores, lambda score: score.isNotNull())
-    total = F.aggregate(present, F.lit(0.0), lambda sum_, score: sum_ + score)
-    return F.when(F.size(present) > 0, F.round(total / F.size(present), 6))
+    start = F.struct(F.lit(0.0).alias("total"), F.lit(0).alias("n"))
+    return F.aggregate(
+        scores, start,
+        lambda acc, score: F.when(score.isNull(), acc).otherwise(
+            F.struct((acc["total"] + score).alias("total"), (acc["n"] + 1).alias("n"))
+        ),
+        lambda acc: F.when(acc["n"] > 0, F.round(acc["total"] / acc["n"], 6)),
+    )
 
 
 def _item(values: Column, index: Column) -> Column:
@@ -387,16 +392,18 @@ def run_extractor(
         F.concat(F.lit("extractor_not_supported_for_object_type:"), F.col("object_type"))
     ))
     if spec.native is not None:
-        produced = pending.withColumn("out", F.when(applicable, validate_output(spec.native())).otherwise(unsupported))
+        raw = pending.withColumn("made", F.when(applicable, spec.native()).otherwise(unsupported))
     else:
         columns = [name for name in pending.columns if name != "semantic_result_id"]
         made = python_outputs(pending.filter(applicable), spec.python, columns)
         packed = made.select("semantic_result_id", F.struct(
             "status", "confidence", "result_json", "result_text", "diagnostics", "mentions", "provenance"
         ).cast(OUTPUT_TYPE).alias("made"))
-        produced = pending.join(packed, "semantic_result_id", "left").withColumn(
-            "out", F.when(applicable, validate_output(F.col("made"))).otherwise(unsupported)
+        raw = pending.join(packed, "semantic_result_id", "left").withColumn(
+            "made", F.when(applicable, F.col("made")).otherwise(unsupported)
         )
+    # A column of its own, so that the checks do not repeat the work of the extractor.
+    produced = raw.withColumn("out", validate_output(F.col("made")))
     # Nested JSON text is embedded by replacing a marker after serialisation.
     marker = "__runtime__"
     provenance = F.replace(

@@ -19,7 +19,6 @@ from ..functions.text import VOCABULARY, contains_alias, normalize, snippet, tok
 from ..functions.timegeo import has_offset, in_time_range, iso_micros
 from ..session import materialise
 from .hotkeys import top_rows
-from .metadata import latest_metadata
 
 MAX_LIMIT, DEFAULT_LIMIT, MAX_QUERY_CHARS = 100, 10, 2000
 # The needle table is broadcast only up to this many rows; beyond, it is shuffled.
@@ -107,7 +106,8 @@ def evidence(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     """Evidence rows by kind, all with ``object_id, evidence_id, confidence, text``.
 
     Mention targets are separate rows under the id of their result, so a result with
-    many relations is never gathered into one text.
+    many relations is never gathered into one text. Metadata of every generation is
+    there; ``newest_extractions`` tells which of it counts.
     """
     results = usable_results(tables["semantic_results"])
     targets = tables["semantic_relations"].select("semantic_result_id", F.col("target_ref").alias("text"))
@@ -123,7 +123,7 @@ def evidence(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
             "object_id", F.col("object_id").alias("evidence_id"), F.lit("canonical_metadata").alias("semantic_type"),
             F.lit(None).cast("double").alias("confidence"), F.col("metadata_json").alias("text"),
         ),
-        "derived_metadata": latest_metadata(tables["metadata_extractions"]).select(
+        "derived_metadata": tables["metadata_extractions"].select(
             "object_id", F.col("extraction_id").alias("evidence_id"), F.lit("media_metadata").alias("semantic_type"),
             F.lit(None).cast("double").alias("confidence"), F.col("metadata_json").alias("text"),
         ),
@@ -135,6 +135,12 @@ def evidence(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
     }
 
 
+def newest_extractions(extractions: DataFrame) -> DataFrame:
+    """Ids of the newest extraction per object, found without moving any metadata text."""
+    newest = extractions.groupBy("object_id").agg(F.max(F.struct("extracted_at", "extraction_id")).alias("e"))
+    return newest.select("object_id", F.col("e.extraction_id").alias("evidence_id"))
+
+
 @dataclass(frozen=True)
 class Needles:
     """Distinct words asked for, the lengths they have, and the phrases among them.
@@ -196,9 +202,12 @@ def matched_evidence(tables: dict[str, DataFrame], needles: Needles) -> DataFram
         "object_id", F.col("semantic_result_id"), "semantic_type", "confidence"
     )
     through = targets.join(owners, "semantic_result_id", "inner").withColumnRenamed("semantic_result_id", "evidence_id")
+    newest = newest_extractions(tables["metadata_extractions"])
     parts = {
         "semantic_result": match(rows["semantic_result"], needles).unionByName(through.select(*columns)),
-        **{kind: match(rows[kind], needles) for kind in ("canonical_metadata", "derived_metadata", "object_relation")},
+        **{kind: match(rows[kind], needles) for kind in ("canonical_metadata", "object_relation")},
+        # Matched first, then reduced to the newest: the join sees matches only.
+        "derived_metadata": match(rows["derived_metadata"], needles).join(newest, ["object_id", "evidence_id"], "left_semi"),
     }
     result = None
     for kind, part in parts.items():
@@ -331,15 +340,23 @@ def search(tables: dict[str, DataFrame], queries: DataFrame,
     # Hits, evidence and summary all come from the matches, so these are found once.
     matches = materialise(query_matches(tables, valid, vocabulary), "matches")
     scored = score_hits(matches, tables, valid)
-    hits = top_hits(scored)
+    hits = materialise(top_hits(scored), "hits")
     wanted = hits.select("query_id", "object_id")
+    wanted = F.broadcast(wanted) if _few(wanted) else wanted
     rows = matches.filter("role = 'concept'").join(wanted, ["query_id", "object_id"], "left_semi")
     return SearchAnswer(hits, rows, summarise(scored, valid))
 
 
 def evidence_snippets(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
-    """Add what each evidence row shows and where it comes from."""
+    """Add what each evidence row shows and where it comes from.
+
+    The rows belong to top hits, so they are few and travel to the texts, not the other
+    way round; how few is checked.
+    """
     parts = evidence(tables)
+    columns = rows.columns
+    rows = materialise(rows, "shown")
+    rows = F.broadcast(rows) if _few(rows) else rows
     results = usable_results(tables["semantic_results"]).select(
         F.col("semantic_result_id").alias("evidence_id"), F.lit("semantic_result").alias("evidence_kind"),
         snippet(F.col("result_text"), F.col("result_json"), F.col("semantic_type")).alias("snippet"),
@@ -353,15 +370,14 @@ def evidence_snippets(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFram
         part = parts[kind].select("object_id", "evidence_id", F.lit(kind).alias("evidence_kind"),
                                   F.substring("text", 1, 320).alias("snippet"))
         others = part if others is None else others.unionByName(part)
-    from_results = rows.filter("evidence_kind = 'semantic_result'").join(results, ["evidence_kind", "evidence_id"], "inner")
+    from_results = results.join(rows, ["evidence_kind", "evidence_id"], "inner")
     from_others = (
-        rows.filter("evidence_kind <> 'semantic_result'")
-        .join(others, ["object_id", "evidence_kind", "evidence_id"], "inner")
+        others.join(rows, ["object_id", "evidence_kind", "evidence_id"], "inner")
         .join(own, "object_id", "left")
         .withColumnRenamed("blob_id", "source_blob_id").withColumnRenamed("content_hash", "source_content_hash")
     )
-    return from_results.select(*rows.columns, "snippet", "source_blob_id", "source_content_hash").unionByName(
-        from_others.select(*rows.columns, "snippet", "source_blob_id", "source_content_hash")
+    return from_results.select(*columns, "snippet", "source_blob_id", "source_content_hash").unionByName(
+        from_others.select(*columns, "snippet", "source_blob_id", "source_content_hash")
     )
 
 
@@ -380,6 +396,8 @@ def scan_matches(tables: dict[str, DataFrame], prepared: DataFrame,
     rows = evidence(tables)
     owners = usable_results(tables["semantic_results"]).select("object_id", "semantic_result_id", "semantic_type", "confidence")
     rows["target"] = rows["target"].join(owners, "semantic_result_id", "inner").withColumnRenamed("semantic_result_id", "evidence_id")
+    newest = newest_extractions(tables["metadata_extractions"])
+    rows["derived_metadata"] = rows["derived_metadata"].join(newest, ["object_id", "evidence_id"], "left_semi")
     pieces = None
     for kind, part in rows.items():
         named = "semantic_result" if kind == "target" else kind

@@ -90,3 +90,11 @@ def op10_bpe_round_trip(spark, d):
 
     out = encode_results(results_of(spark, d), public_tokenizers.path("word_bpe_49k.json"))
     return out.select(DOC, "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op4_substring_dedup")
+def op4_substring_dedup(spark, d):
+    from .passages import remove_repeated_passages
+
+    out = remove_repeated_passages(results_of(spark, d))
+    return out.select(DOC, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))

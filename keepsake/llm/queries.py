@@ -98,3 +98,20 @@ def op4_substring_dedup(spark, d):
 
     out = remove_repeated_passages(results_of(spark, d))
     return out.select(DOC, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def learned_languages(spark: SparkSession, d: str):
+    """A model from texts and known languages of the documents outside the held-out fold."""
+    from .languages import learn_languages
+
+    known = table(spark, d, "documents").select(
+        F.col("doc_id").alias("object_id"), F.col("text").alias("result_text"), F.col("lang").alias("language"))
+    return learn_languages(known.filter(fold(4) != 2))
+
+
+@query("op1_language_id")
+def op1_language_id(spark, d):
+    from .languages import identify_languages
+
+    out = identify_languages(results_of(spark, d), learned_languages(spark, d))
+    return out.select(DOC, (fold(4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), F.col("confidence").alias("score"), F.size("spans").alias("n_spans"))

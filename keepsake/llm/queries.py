@@ -115,3 +115,24 @@ def op1_language_id(spark, d):
 
     out = identify_languages(results_of(spark, d), learned_languages(spark, d))
     return out.select(DOC, (fold(4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), F.col("confidence").alias("score"), F.size("spans").alias("n_spans"))
+
+
+@query("op2_quality_classifier")
+def op2_quality_classifier(spark, d):
+    from .quality import learn_quality, score_quality
+
+    results = results_of(spark, d)
+    # Of a document with several labels the best counts; one row per document, so no text is repeated.
+    labels = table(spark, d, "labels").groupBy(F.col("doc_id").alias("object_id")).agg(F.max("quality").alias("quality"))
+    known = results.filter(fold(5) != 0).join(labels, "object_id", "left")
+    model = learn_quality(known.select("result_text", (F.col("quality") == 1).alias("trusted")))
+    out = score_quality(results, model)
+    return out.select(
+        DOC, (fold(5) == 0).alias("held_out"), F.col("confidence").alias("score"), (F.col("confidence") >= 0.3).cast("int").alias("predicted"))
+
+
+@query("op3_ngram_jaccard_join")
+def op3_ngram_jaccard_join(spark, d):
+    from .near import near_duplicates
+
+    return near_duplicates(results_of(spark, d)).select(DOC, "class_id", "n_links")

@@ -136,3 +136,20 @@ def op3_ngram_jaccard_join(spark, d):
     from .near import near_duplicates
 
     return near_duplicates(results_of(spark, d)).select(DOC, "class_id", "n_links")
+
+
+@query("op5_line_dedup")
+def op5_line_dedup(spark, d):
+    from .lines import remove_similar_lines
+
+    out = remove_similar_lines(results_of(spark, d))
+    return out.select(DOC, "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query("op9_embedding_near_dedup")
+def op9_embedding_near_dedup(spark, d):
+    from .vectors import near_vectors
+
+    out = near_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("object_id"), "embedding"))
+    return out.select(
+        F.col("object_id").alias("vec_id"), "n_links", "component_id", F.col("object_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, result_texts, words_of
+from .common import Scratch, let, plain_words_of, result_texts
 
 THRESHOLD = 0.8
 # Rarity is counted in this many hash buckets, so that its table has one size for any corpus.
@@ -31,7 +31,8 @@ def _needed(threshold: float, n: Column, m: Column) -> Column:
 
 def _rank_table(texts: DataFrame) -> DataFrame:
     """One row ``ranks``: rank by count of every bucket, buckets without words first."""
-    words = texts.select(F.explode(words_of(F.col("result_text"))).alias("word"))
+    lines = texts.select(F.explode(F.split("result_text", "\n")).alias("content"))
+    words = lines.select(F.explode(plain_words_of(F.col("content"))).alias("word"))
     bucket = F.shiftrightunsigned(F.xxhash64("word"), 64 - RARITY_BITS).cast("int")
     counted = words.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
     every = texts.sparkSession.range(1 << RARITY_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
@@ -44,8 +45,7 @@ def _rank_table(texts: DataFrame) -> DataFrame:
 def _tokens(line: Column, ranks: Column) -> Column:
     """Distinct words of a line as numbers, rarest first: rank of the bucket, then hash bits."""
     number = lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - RARITY_BITS).cast("int")).cast("long") * (1 << HASH_BITS) + h.bitwiseAND((1 << HASH_BITS) - 1)
-    hashes = F.transform(words_of(line), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, number)))
+    return F.sort_array(F.array_distinct(F.transform(plain_words_of(line), lambda w: number(F.xxhash64(w)))))
 
 
 def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -73,7 +73,7 @@ def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> Da
     n = F.col("n")
 
     def described(tokens: Column) -> Column:
-        bits = F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+        bits = F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
         size = F.size(tokens)
         prefix = F.slice(tokens, 1, F.greatest(size - F.ceil(size * threshold - 1e-9) + 1, F.lit(1)).cast("int"))
         return F.struct(
@@ -96,6 +96,7 @@ def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> Da
     needed = _needed(threshold, xn, yn)
     smaller = (yn < xn) | ((yn == xn) & (F.col("y.id") < F.col("x.id")))
     in_reach = F.least(xn - F.col("x.at"), yn - F.col("y.at")) >= needed
+    # Bits are parities of words by hash: as many as differ, at least, are not shared.
     differing = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & F.col("y.indexed") & (yn >= xn * threshold - 1e-9) & in_reach & (xn + yn - differing >= 2 * needed))
     pairs = scratch.write(pairs.select(

@@ -187,7 +187,8 @@ def learn_quality(results: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabe
     # Outer bins, where junk is, are cut finer.
     outer = np.quantile(unlabelled, [0.01, 0.03, 0.97, 0.99], axis=0).T
     edges = np.sort(np.concatenate([edges, outer], axis=1), axis=1)
-    p, u = _one_hot(positive, edges), _one_hot(unlabelled, edges)
+    shuffled = lambda rows: _one_hot(rows, edges)[np.random.default_rng(1).permutation(len(rows))]
+    p, u = shuffled(positive), shuffled(unlabelled)
 
     half_p, half_u = len(p) // 2, len(u) // 2
     if half_p and half_u:

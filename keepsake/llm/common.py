@@ -31,13 +31,6 @@ def words_of(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RUN))
 
 
-def plain_words_of(text: Column) -> Column:
-    """``words_of``, faster where single blanks are the only white space inside the text."""
-    trimmed = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    simple = ~(trimmed.contains("  ") | trimmed.contains("\t") | trimmed.contains("\n") | trimmed.contains("\x0b") | trimmed.contains("\f") | trimmed.contains("\r"))
-    return F.when(simple & (trimmed != ""), F.split(trimmed, " ")).otherwise(words_of(text))
-
-
 class Scratch:
     """Intermediate tables of one run, below the folder that all executors share.
 

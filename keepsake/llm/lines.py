@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, let, plain_words_of, result_texts
+from .common import SPACES, Scratch, let, result_texts, words_of
 
 THRESHOLD = 0.8
 # Rarity is counted in this many hash buckets, so that its table has one size for any corpus.
@@ -29,23 +29,34 @@ def _needed(threshold: float, n: Column, m: Column) -> Column:
     return F.ceil((n + m) * (threshold / (1 + threshold)) - 1e-9)
 
 
+def _plain(text: Column) -> Column:
+    """Whether single blanks and newlines, not side by side, are all the white space inside."""
+    inside = F.btrim(text, F.lit(SPACES))
+    return ~F.greatest(*[inside.contains(c) for c in ("  ", "\t", "\x0b", "\f", "\r", " \n", "\n ")]) & (inside == text)
+
+
+def _line_words(line: Column, plain: Column) -> Column:
+    """``words_of``, faster for lines of plain texts."""
+    return F.when(plain & (line != ""), F.split(line, " ")).otherwise(words_of(line))
+
+
 def _rank_table(texts: DataFrame) -> DataFrame:
-    """One row ``ranks``: rank by count of every bucket, buckets without words first."""
-    lines = texts.select(F.explode(F.split("result_text", "\n")).alias("content"))
-    words = lines.select(F.explode(plain_words_of(F.col("content"))).alias("word"))
+    """One row ``ranks``: rank by count of every bucket, in the bits above a word's own."""
+    lines = texts.select("plain", F.explode(F.split("result_text", "\n")).alias("content"))
+    words = lines.select(F.explode(_line_words(F.col("content"), F.col("plain"))).alias("word"))
     bucket = F.shiftrightunsigned(F.xxhash64("word"), 64 - RARITY_BITS).cast("int")
     counted = words.groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
     every = texts.sparkSession.range(1 << RARITY_BITS).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"))
     whole = counted.unionByName(every).groupBy("bucket").agg(F.sum("n").alias("n"))
     by_count = whole.agg(F.sort_array(F.collect_list(F.struct("n", "bucket"))).alias("s"))
     by_bucket = by_count.select(F.sort_array(F.transform("s", lambda s, i: F.struct(s["bucket"].alias("bucket"), i.alias("rank")))).alias("s"))
-    return by_bucket.select(F.transform("s", lambda s: s["rank"]).alias("ranks"))
+    return by_bucket.select(F.transform("s", lambda s: s["rank"].cast("long") * (1 << HASH_BITS)).alias("ranks"))
 
 
-def _tokens(line: Column, ranks: Column) -> Column:
+def _tokens(line: Column, plain: Column, ranks: Column) -> Column:
     """Distinct words of a line as numbers, rarest first: rank of the bucket, then hash bits."""
-    number = lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - RARITY_BITS).cast("int")).cast("long") * (1 << HASH_BITS) + h.bitwiseAND((1 << HASH_BITS) - 1)
-    return F.sort_array(F.array_distinct(F.transform(plain_words_of(line), lambda w: number(F.xxhash64(w)))))
+    number = lambda h: F.get(ranks, F.shiftrightunsigned(h, 64 - RARITY_BITS).cast("int")).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
+    return F.sort_array(F.array_distinct(F.transform(_line_words(line, plain), lambda w: number(F.xxhash64(w)))))
 
 
 def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -65,11 +76,11 @@ def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> Da
     """
     scratch = Scratch(results.sparkSession, "lines")
     texts = result_texts(results).withColumn("tag", F.xxhash64("result_text"))
-    ordered = texts.filter("object_id IS NOT NULL AND result_text IS NOT NULL")
+    ordered = texts.filter("object_id IS NOT NULL AND result_text IS NOT NULL").withColumn("plain", _plain(F.col("result_text")))
     ranks = scratch.write(_rank_table(ordered), "ranks").scalar()
 
     # The optimiser puts the scalar where ``ranks`` is read, once; no row carries the array.
-    split = ordered.select(*DOC, F.posexplode(F.split("result_text", "\n")).alias("line", "content")).withColumn("ranks", ranks)
+    split = ordered.select(*DOC, "plain", F.posexplode(F.split("result_text", "\n")).alias("line", "content")).withColumn("ranks", ranks)
     n = F.col("n")
 
     def described(tokens: Column) -> Column:
@@ -80,7 +91,7 @@ def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> Da
             size.alias("n"), F.xxhash64(tokens).alias("set_a"), F.xxhash64(F.lit(1), tokens).alias("set_b"),
             bits.alias("bits"), F.when(size > 0, prefix).alias("prefix"))
 
-    lines = scratch.write(split.select(*PLACE, let(_tokens(F.col("content"), F.col("ranks")), described).alias("d")).select(*PLACE, "d.*"), "lines")
+    lines = scratch.write(split.select(*PLACE, let(_tokens(F.col("content"), F.col("plain"), F.col("ranks")), described).alias("d")).select(*PLACE, "d.*"), "lines")
 
     # The first line of each set, numbered in the order of lines.
     payload = F.struct(*PLACE, "n", "bits", "prefix")
@@ -106,9 +117,9 @@ def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> Da
     wanted = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
     places = firsts.select("id", *PLACE).join(wanted, "id")
     by_text = places.groupBy(*DOC).agg(F.collect_list(F.struct("line", "id")).alias("places"))
-    found = ordered.join(by_text, [*DOC]).select("places", F.split("result_text", "\n").alias("contents"))
-    found = found.select("contents", F.explode("places").alias("p")).select("p.id", F.get("contents", F.col("p.line")).alias("content")).withColumn("ranks", ranks)
-    sets = scratch.write(found.select("id", _tokens(F.col("content"), F.col("ranks")).alias("tokens")).dropDuplicates(["id"]), "sets")
+    found = ordered.join(by_text, [*DOC]).select("places", "plain", F.split("result_text", "\n").alias("contents"))
+    found = found.select("contents", "plain", F.explode("places").alias("p")).select("p.id", "plain", F.get("contents", F.col("p.line")).alias("content")).withColumn("ranks", ranks)
+    sets = scratch.write(found.select("id", _tokens(F.col("content"), F.col("plain"), F.col("ranks")).alias("tokens")).dropDuplicates(["id"]), "sets")
     later, earlier = sets.select(F.col("id").alias("later"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("earlier"), F.col("tokens").alias("y"))
     common = F.size(F.array_intersect("x", "y"))
     alike = common >= _needed(threshold, F.size("x"), F.size("y"))
@@ -120,7 +131,8 @@ def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> Da
     flags = scratch.write(
         lines.select(*PLACE, "n", "set_a", "set_b").join(verdicts, ["set_a", "set_b"], "left")
         .select(*PLACE, gone.alias("gone"))
-        .groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("line", "gone"))).alias("flags")).filter(F.exists("flags", lambda f: f["gone"])), "flags")
+        # Lines of a text meet as narrow rows; collected before the shuffle they would be wide.
+        .repartition(*DOC).groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("line", "gone"))).alias("flags")).filter(F.exists("flags", lambda f: f["gone"])), "flags")
     scratch.drop(lines, pairs, sets)
     kept = F.filter(F.split("result_text", "\n"), lambda line, i: ~F.get(F.col("flags"), i)["gone"])
     removed = F.coalesce(F.size(F.filter("flags", lambda f: f["gone"])), F.lit(0))

@@ -20,6 +20,8 @@ THRESHOLD = 0.8
 # Rarity is counted in this many hash buckets, so that its table has one size for any corpus.
 RARITY_BITS = 16
 HASH_BITS = 47
+# Sets above this size get a second sketch, of four times as many bits.
+WIDE_SIZE = 100
 DOC = ("object_id", "tag")
 PLACE = (*DOC, "line")
 
@@ -84,31 +86,37 @@ def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> Da
     n = F.col("n")
 
     def described(tokens: Column) -> Column:
-        bits = F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))))
+        bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(63).cast("int"))
+        parity = lambda chosen: F.aggregate(tokens, F.lit(0).cast("long"), lambda a, t: chosen(t, a.bitwiseXOR(bit(t)), a))
+        bits = parity(lambda t, flipped, same: flipped)
+        quarter = lambda k: parity(lambda t, flipped, same: F.when(F.shiftright(t, 6).bitwiseAND(3) == k, flipped).otherwise(same))
         size = F.size(tokens)
+        wide = F.when(size > WIDE_SIZE, F.array(*[quarter(k) for k in range(4)]))
         prefix = F.slice(tokens, 1, F.greatest(size - F.ceil(size * threshold - 1e-9) + 1, F.lit(1)).cast("int"))
         return F.struct(
             size.alias("n"), F.xxhash64(tokens).alias("set_a"), F.xxhash64(F.lit(1), tokens).alias("set_b"),
-            bits.alias("bits"), F.when(size > 0, prefix).alias("prefix"))
+            bits.alias("bits"), wide.alias("wide"), F.when(size > 0, prefix).alias("prefix"))
 
     lines = scratch.write(split.select(*PLACE, let(_tokens(F.col("content"), F.col("plain"), F.col("ranks")), described).alias("d")).select(*PLACE, "d.*"), "lines")
 
     # The first line of each set, numbered in the order of lines.
-    payload = F.struct(*PLACE, "n", "bits", "prefix")
+    payload = F.struct(*PLACE, "n", "bits", "wide", "prefix")
     firsts = lines.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(payload).alias("p")).select("set_a", "set_b", "p.*")
     firsts = scratch.write(firsts.orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id()), "firsts")
 
     # One side of a pair, the smaller set, needs fewer words of its prefix.
     index_size = n - _needed(threshold, n, n) + 1
-    joined = firsts.select("id", "n", "bits", F.posexplode("prefix").alias("at", "token"), index_size.cast("int").alias("index_size"))
-    rows = joined.select("token", "id", "n", "bits", "at", (F.col("at") < F.col("index_size")).alias("indexed"))
+    joined = firsts.select("id", "n", "bits", "wide", F.posexplode("prefix").alias("at", "token"), index_size.cast("int").alias("index_size"))
+    rows = joined.select("token", "id", "n", "bits", "wide", "at", (F.col("at") < F.col("index_size")).alias("indexed"))
     x, y = rows.alias("x"), rows.alias("y")
     xn, yn = F.col("x.n"), F.col("y.n")
     needed = _needed(threshold, xn, yn)
     smaller = (yn < xn) | ((yn == xn) & (F.col("y.id") < F.col("x.id")))
     in_reach = F.least(xn - F.col("x.at"), yn - F.col("y.at")) >= needed
     # Bits are parities of words by hash: as many as differ, at least, are not shared.
-    differing = F.bit_count(F.col("x.bits").bitwiseXOR(F.col("y.bits")))
+    apart = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+    in_wide = [apart(F.get("x.wide", F.lit(k)), F.get("y.wide", F.lit(k))) for k in range(4)]
+    differing = F.when((xn > WIDE_SIZE) & (yn > WIDE_SIZE), in_wide[0] + in_wide[1] + in_wide[2] + in_wide[3]).otherwise(apart(F.col("x.bits"), F.col("y.bits")))
     pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & F.col("y.indexed") & (yn >= xn * threshold - 1e-9) & in_reach & (xn + yn - differing >= 2 * needed))
     pairs = scratch.write(pairs.select(
         F.greatest("x.id", "y.id").alias("later"), F.least("x.id", "y.id").alias("earlier")).distinct(), "pairs")

@@ -20,6 +20,8 @@ THRESHOLD = 0.8
 # Rarity is counted in this many hash buckets, so that its table has one size for any corpus.
 RARITY_BITS = 16
 HASH_BITS = 47
+# A word in the prefix of this many sets is matched with the first of them beforehand.
+HOT_LINES = 32
 # Sets above this size get a second sketch, of four times as many bits.
 WIDE_SIZE = 100
 DOC = ("object_id", "tag")
@@ -97,41 +99,64 @@ def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> Da
             size.alias("n"), F.xxhash64(tokens).alias("set_a"), F.xxhash64(F.lit(1), tokens).alias("set_b"),
             bits.alias("bits"), wide.alias("wide"), F.when(size > 0, prefix).alias("prefix"))
 
-    lines = scratch.write(split.select(*PLACE, let(_tokens(F.col("content"), F.col("plain"), F.col("ranks")), described).alias("d")).select(*PLACE, "d.*"), "lines")
+    described_lines = scratch.write(split.select(*PLACE, let(_tokens(F.col("content"), F.col("plain"), F.col("ranks")), described).alias("d")).select(*PLACE, "d.*"), "described")
 
     # The first line of each set, numbered in the order of lines.
     payload = F.struct(*PLACE, "n", "bits", "wide", "prefix")
-    firsts = lines.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(payload).alias("p")).select("set_a", "set_b", "p.*")
+    firsts = described_lines.filter("n > 0").groupBy("set_a", "set_b").agg(F.min(payload).alias("p")).select("set_a", "set_b", "p.*")
     firsts = scratch.write(firsts.orderBy(*PLACE).withColumn("id", F.monotonically_increasing_id()), "firsts")
-
-    # One side of a pair, the smaller set, needs fewer words of its prefix.
+    lines = scratch.write(described_lines.select(*PLACE, "n", "set_a", "set_b"), "lines")
+    scratch.drop(described_lines)
+
+    def possible(x: str, y: str) -> Column:
+        """Whether sizes and sketches of two sets allow the similarity."""
+        # Bits are parities of words by hash: as many as differ, at least, are not shared.
+        n, m = F.col(f"{x}.n"), F.col(f"{y}.n")
+        apart = lambda a, b: F.bit_count(a.bitwiseXOR(b))
+        in_wide = [apart(F.get(f"{x}.wide", F.lit(k)), F.get(f"{y}.wide", F.lit(k))) for k in range(4)]
+        differing = F.when((n > WIDE_SIZE) & (m > WIDE_SIZE), in_wide[0] + in_wide[1] + in_wide[2] + in_wide[3]).otherwise(
+            apart(F.col(f"{x}.bits"), F.col(f"{y}.bits")))
+        return (F.least(n, m) >= F.greatest(n, m) * threshold - 1e-9) & (n + m - differing >= 2 * _needed(threshold, n, m))
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        """Later lines of the pairs that are similar on their full sets, read from their texts."""
+        wanted = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
+        places = firsts.select("id", *PLACE).join(wanted, "id")
+        by_text = places.repartition(*DOC).groupBy(*DOC).agg(F.collect_list(F.struct("line", "id")).alias("places"))
+        found = ordered.join(by_text, [*DOC]).select("places", "plain", F.split("result_text", "\n").alias("contents"))
+        found = found.select("contents", "plain", F.explode("places").alias("p")).select("p.id", "plain", F.get("contents", F.col("p.line")).alias("content"))
+        tokens = _tokens(F.col("content"), F.col("plain"), F.col("ranks")).alias("tokens")
+        sets = scratch.write(found.withColumn("ranks", ranks).select("id", tokens).dropDuplicates(["id"]), "sets")
+        later, earlier = sets.select(F.col("id").alias("later"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("earlier"), F.col("tokens").alias("y"))
+        alike = F.size(F.array_intersect("x", "y")) >= _needed(threshold, F.size("x"), F.size("y"))
+        similar = scratch.write(pairs.join(later, "later").join(earlier, "earlier").filter(alike).select(F.col("later").alias("id")).distinct(), name)
+        scratch.drop(sets)
+        return similar
+
+    # Where many lines share a word of their prefix, most of those that resemble any resemble
+    # the first: a line for each, not a pair for every two.
+    at_prefix = firsts.select("id", F.explode("prefix").alias("token"))
+    hubs = at_prefix.groupBy("token").agg(F.count("*").alias("lines"), F.min("id").alias("hub")).filter(F.col("lines") >= HOT_LINES).select("token", "hub")
+    at_hubs = at_prefix.join(hubs, "token").filter("id > hub").select("id", "hub").distinct()
+    sketch = firsts.select("id", "n", "bits", "wide")
+    at_hubs = at_hubs.join(sketch.alias("x"), "id").join(sketch.withColumnRenamed("id", "hub").alias("y"), "hub").filter(possible("x", "y"))
+    settled = verified(scratch.write(at_hubs.select(F.col("id").alias("later"), F.col("hub").alias("earlier")), "hubs"), "settled")
+
+    # All other pairs whose later line is not settled. One side of a pair, the smaller set,
+    # needs fewer words of its prefix.
     index_size = n - _needed(threshold, n, n) + 1
-    joined = firsts.select("id", "n", "bits", "wide", F.posexplode("prefix").alias("at", "token"), index_size.cast("int").alias("index_size"))
-    rows = joined.select("token", "id", "n", "bits", "wide", "at", (F.col("at") < F.col("index_size")).alias("indexed"))
+    marked = firsts.join(settled.withColumn("settled", F.lit(True)), "id", "left")
+    exploded = marked.select("id", "n", "bits", "wide", "settled", F.posexplode("prefix").alias("at", "token"), index_size.cast("int").alias("index_size"))
+    rows = exploded.select("token", "id", "n", "bits", "wide", "at", F.coalesce("settled", F.lit(False)).alias("settled"), (F.col("at") < F.col("index_size")).alias("indexed"))
     x, y = rows.alias("x"), rows.alias("y")
     xn, yn = F.col("x.n"), F.col("y.n")
-    needed = _needed(threshold, xn, yn)
     smaller = (yn < xn) | ((yn == xn) & (F.col("y.id") < F.col("x.id")))
-    in_reach = F.least(xn - F.col("x.at"), yn - F.col("y.at")) >= needed
-    # Bits are parities of words by hash: as many as differ, at least, are not shared.
-    apart = lambda a, b: F.bit_count(a.bitwiseXOR(b))
-    in_wide = [apart(F.get("x.wide", F.lit(k)), F.get("y.wide", F.lit(k))) for k in range(4)]
-    differing = F.when((xn > WIDE_SIZE) & (yn > WIDE_SIZE), in_wide[0] + in_wide[1] + in_wide[2] + in_wide[3]).otherwise(apart(F.col("x.bits"), F.col("y.bits")))
-    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & F.col("y.indexed") & (yn >= xn * threshold - 1e-9) & in_reach & (xn + yn - differing >= 2 * needed))
+    in_reach = F.least(xn - F.col("x.at"), yn - F.col("y.at")) >= _needed(threshold, xn, yn)
+    open_later = ~F.when(F.col("x.id") > F.col("y.id"), F.col("x.settled")).otherwise(F.col("y.settled"))
+    pairs = x.join(y, (F.col("x.token") == F.col("y.token")) & smaller & F.col("y.indexed") & open_later & in_reach & possible("x", "y"))
     pairs = scratch.write(pairs.select(
         F.greatest("x.id", "y.id").alias("later"), F.least("x.id", "y.id").alias("earlier")).distinct(), "pairs")
-
-    # Full sets of the lines that occur in pairs, from their texts.
-    wanted = pairs.select(F.col("later").alias("id")).unionByName(pairs.select(F.col("earlier").alias("id"))).distinct()
-    places = firsts.select("id", *PLACE).join(wanted, "id")
-    by_text = places.groupBy(*DOC).agg(F.collect_list(F.struct("line", "id")).alias("places"))
-    found = ordered.join(by_text, [*DOC]).select("places", "plain", F.split("result_text", "\n").alias("contents"))
-    found = found.select("contents", "plain", F.explode("places").alias("p")).select("p.id", "plain", F.get("contents", F.col("p.line")).alias("content")).withColumn("ranks", ranks)
-    sets = scratch.write(found.select("id", _tokens(F.col("content"), F.col("plain"), F.col("ranks")).alias("tokens")).dropDuplicates(["id"]), "sets")
-    later, earlier = sets.select(F.col("id").alias("later"), F.col("tokens").alias("x")), sets.select(F.col("id").alias("earlier"), F.col("tokens").alias("y"))
-    common = F.size(F.array_intersect("x", "y"))
-    alike = common >= _needed(threshold, F.size("x"), F.size("y"))
-    similar = pairs.join(later, "later").join(earlier, "earlier").filter(alike).select(F.col("later").alias("id")).distinct()
+    similar = settled.unionByName(verified(pairs, "similar"))
 
     verdicts = firsts.select("set_a", "set_b", *[F.col(c).alias(f"first_{c}") for c in PLACE], "id").join(similar.withColumn("alike", F.lit(True)), "id", "left")
     is_first = (F.col("object_id") == F.col("first_object_id")) & (F.col("tag") == F.col("first_tag")) & (F.col("line") == F.col("first_line"))
@@ -141,7 +166,7 @@ def remove_similar_lines(results: DataFrame, threshold: float = THRESHOLD) -> Da
         .select(*PLACE, gone.alias("gone"))
         # Lines of a text meet as narrow rows; collected before the shuffle they would be wide.
         .repartition(*DOC).groupBy(*DOC).agg(F.sort_array(F.collect_set(F.struct("line", "gone"))).alias("flags")).filter(F.exists("flags", lambda f: f["gone"])), "flags")
-    scratch.drop(lines, pairs, sets)
+    scratch.drop(lines, pairs)
     kept = F.filter(F.split("result_text", "\n"), lambda line, i: ~F.get(F.col("flags"), i)["gone"])
     removed = F.coalesce(F.size(F.filter("flags", lambda f: f["gone"])), F.lit(0))
     return texts.join(flags, [*DOC], "left").select(

@@ -39,7 +39,8 @@ def results_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_results(table(spark, sf_dir, "documents"))
 
 
-DOC = F.col("object_id").alias("doc_id")
+def doc_id() -> Column:
+    return F.col("object_id").alias("doc_id")
 
 
 def fold(count: int) -> Column:
@@ -52,7 +53,7 @@ def op6_quality_rules(spark, d):
     from .rules import apply_quality_rules
 
     out = apply_quality_rules(results_of(spark, d))
-    return out.select(DOC, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return out.select(doc_id(), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 @query("op7_best_fit_packing")
@@ -62,7 +63,7 @@ def op7_best_fit_packing(spark, d):
     from .packing import pack_results
 
     packed = pack_results(results_of(spark, d), public_tokenizers.path("byte_bpe_50k.json"))
-    return packed.select(DOC, "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "sequence_id", "offset")
+    return packed.select(doc_id(), "piece", "start", "length", F.crc32("token_ids").alias("ids_crc32"), "sequence_id", "offset")
 
 
 @query("op8_chat_formatting")
@@ -89,7 +90,7 @@ def op10_bpe_round_trip(spark, d):
     from .bpe import encode_results
 
     out = encode_results(results_of(spark, d), public_tokenizers.path("word_bpe_49k.json"))
-    return out.select(DOC, "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return out.select(doc_id(), "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 @query("op4_substring_dedup")
@@ -97,7 +98,7 @@ def op4_substring_dedup(spark, d):
     from .passages import remove_repeated_passages
 
     out = remove_repeated_passages(results_of(spark, d))
-    return out.select(DOC, "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select(doc_id(), "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 def learned_languages(spark: SparkSession, d: str):
@@ -114,7 +115,7 @@ def op1_language_id(spark, d):
     from .languages import identify_languages
 
     out = identify_languages(results_of(spark, d), learned_languages(spark, d))
-    return out.select(DOC, (fold(4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), F.col("confidence").alias("score"), F.size("spans").alias("n_spans"))
+    return out.select(doc_id(), (fold(4) == 2).alias("held_out"), F.col("language").alias("lang_pred"), F.col("confidence").alias("score"), F.size("spans").alias("n_spans"))
 
 
 @query("op2_quality_classifier")
@@ -128,14 +129,14 @@ def op2_quality_classifier(spark, d):
     model = learn_quality(known.select("result_text", (F.col("quality") == 1).alias("trusted")))
     out = score_quality(results, model)
     return out.select(
-        DOC, (fold(5) == 0).alias("held_out"), F.col("confidence").alias("score"), (F.col("confidence") >= 0.3).cast("int").alias("predicted"))
+        doc_id(), (fold(5) == 0).alias("held_out"), F.col("confidence").alias("score"), (F.col("confidence") >= 0.3).cast("int").alias("predicted"))
 
 
 @query("op3_ngram_jaccard_join")
 def op3_ngram_jaccard_join(spark, d):
     from .near import near_duplicates
 
-    return near_duplicates(results_of(spark, d)).select(DOC, "class_id", "n_links")
+    return near_duplicates(results_of(spark, d)).select(doc_id(), "class_id", "n_links")
 
 
 @query("op5_line_dedup")
@@ -143,7 +144,7 @@ def op5_line_dedup(spark, d):
     from .lines import remove_similar_lines
 
     out = remove_similar_lines(results_of(spark, d))
-    return out.select(DOC, "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+    return out.select(doc_id(), "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
 @query("op9_embedding_near_dedup")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -60,6 +61,16 @@ class ExtractorSpec:
     python: Callable[[dict], dict] | None = None
 
 
+def version_order(version: str) -> tuple:
+    """Sort key of any version text: numbers by value and before words, previews before releases."""
+    def parts(text: str) -> list[tuple]:
+        return [(0, int(x), "") if x.isdecimal() else (1, 0, x) for x in re.split(r"[.\-_]", text) if x]
+
+    main, _, build = version.partition("+")
+    release, _, preview = main.partition("-")
+    return parts(release), not preview, parts(preview), build
+
+
 @dataclass
 class ExtractorRegistry:
     specs: dict[tuple[str, str], ExtractorSpec] = field(default_factory=dict)
@@ -71,11 +82,11 @@ class ExtractorRegistry:
         self.specs[key] = spec
 
     def get(self, name: str, version: str | None = None) -> ExtractorSpec:
-        """The named version, else the numerically greatest one."""
+        """The named version, else the greatest one: by numbers, and a release after its previews."""
         found = [s for (n, v), s in self.specs.items() if n == name and version in (None, v)]
         if not found:
             raise KeyError(f"unknown extractor: {name}" + (f"@{version}" if version else ""))
-        return max(found, key=lambda spec: [int(part) for part in spec.version.split(".")])
+        return max(found, key=lambda spec: version_order(spec.version))
 
     def list(self) -> list[ExtractorSpec]:
         return [self.specs[key] for key in sorted(self.specs)]
@@ -299,32 +310,50 @@ def dispatch(contexts: DataFrame, specs: DataFrame) -> DataFrame:
 
 def python_outputs(contexts: DataFrame, handler: Callable[[dict], dict], columns: list[str]) -> DataFrame:
     """Run a Python handler over pending rows in Arrow batches; errors become failed rows."""
-    fields = ("status", "confidence", "result_json", "result_text", "provenance")
+    names = ("semantic_result_id", "status", "confidence", "result_json", "result_text", "diagnostics", "mentions", "provenance")
+
+    def text(value, name: str) -> str | None:
+        if value is not None and not isinstance(value, str):
+            raise TypeError(f"{name} has to be text")
+        return value
+
+    def number(value, name: str) -> float | None:
+        if value is not None and (isinstance(value, bool) or not isinstance(value, (int, float))):
+            raise TypeError(f"{name} has to be a number")
+        return None if value is None else float(value)
+
+    def document(value, name: str) -> str | None:
+        if isinstance(value, (dict, list)):
+            return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+        return text(value, name)
+
+    def mention(given) -> dict:
+        if isinstance(given, str) or not 2 <= len(given) <= 3:
+            raise TypeError("a mention has a relation type, a target and perhaps a confidence")
+        relation, target, confidence = (*given, None)[:3]
+        return {"relation_type": text(relation, "relation type"), "target_ref": text(target, "target"), "confidence": number(confidence, "mention confidence")}
+
+    def answer(record: dict) -> tuple:
+        made = dict(handler(record))
+        diagnostics = made.get("diagnostics", ())
+        if isinstance(diagnostics, str):
+            raise TypeError("diagnostics have to be a list")
+        return (
+            text(made.get("status"), "status"), number(made.get("confidence"), "confidence"), document(made.get("result_json"), "result_json"),
+            text(made.get("result_text"), "result_text"), [text(item, "diagnostics") for item in diagnostics],
+            [mention(given) for given in made.get("mentions", ())], document(made.get("provenance"), "provenance") or "{}",
+        )
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for record in batch.to_dict("records"):
-                try:
-                    made = dict(handler(record))
+                try:  # what a handler answers is checked and serialised here too, row by row
+                    made = answer(record)
                 except Exception as error:  # a failing handler is a durable result, not a failed job
-                    made = {"status": "failed", "diagnostics": [f"extractor_failed:{type(error).__name__}: {error}"]}
-                row = {name: made.get(name) for name in fields}
-                if row["provenance"] is None:
-                    row["provenance"] = "{}"
-                for name in ("result_json", "provenance"):
-                    if isinstance(row[name], (dict, list)):
-                        row[name] = json.dumps(row[name], ensure_ascii=False, sort_keys=True, separators=(",", ":"))
-                row["diagnostics"] = list(made.get("diagnostics", []))
-                row["mentions"] = [
-                    dict(zip(("relation_type", "target_ref", "confidence"), (*mention, None)[:3]))
-                    for mention in made.get("mentions", [])
-                ]
-                rows.append({"semantic_result_id": record["semantic_result_id"], **row})
-            yield pd.DataFrame(rows, columns=[
-                "semantic_result_id", "status", "confidence", "result_json", "result_text",
-                "diagnostics", "mentions", "provenance",
-            ])
+                    made = ("failed", None, None, None, [f"extractor_failed:{type(error).__name__}: {error}"], [], "{}")
+                rows.append((record["semantic_result_id"], *made))
+            yield pd.DataFrame(rows, columns=names)
 
     schema = (
         "semantic_result_id string, status string, confidence double, result_json string, result_text string, "

@@ -34,6 +34,11 @@ def read_log(spark: SparkSession, root: str, before: int | None = None) -> DataF
     return log if before is None else log.filter(F.col("batch") < before)
 
 
+def rejects_of(root: str) -> str:
+    """Where the rejected items of a log are kept."""
+    return f"{root.rstrip('/')}-rejects"
+
+
 def objects_of(log: DataFrame) -> DataFrame:
     """Present objects: per object the last row that inserted or changed it."""
     written = log.filter(F.col("outcome").isin("inserted", "changed"))
@@ -46,14 +51,19 @@ def versions_of(log: DataFrame) -> DataFrame:
 
 
 def merge_batch(batch: DataFrame, batch_id: int, root: str, **hot) -> None:
-    """Write the outcomes of one micro-batch next to those of the earlier ones."""
+    """Write the outcomes of one micro-batch next to those of the earlier ones.
+
+    Rejected items are kept with their reason, in a table of their own beside the log.
+    """
     spark = batch.sparkSession
     log = read_log(spark, root, before=batch_id)
-    valid, _ = split_items(batch)
+    valid, rejected = split_items(batch)
+    rejected.drop("content").write.mode("overwrite").parquet(f"{rejects_of(root)}/batch={batch_id}")
     result = ingest(valid, objects_of(log), versions_of(log), **hot)
-    # A version row belongs to the delivery that brought it; its ordinal is unique.
-    numbers = result.new_versions.select("ordinal", "version")
-    rows = result.outcomes.join(numbers, "ordinal", "left").withColumn("created_at", F.col("captured_at"))
+    # A version row belongs to the delivery that brought it, whose ordinal others may repeat.
+    delivery = ["ordinal", "object_id", "content_hash"]
+    numbers = result.new_versions.select(*delivery, "version").dropDuplicates(delivery)
+    rows = result.outcomes.join(numbers, delivery, "left").withColumn("created_at", F.col("captured_at"))
     for name in ("parent_id", "topic"):
         rows = rows.withColumn(name, F.lit(None).cast("string"))
     columns = [item.name for item in StructType.fromDDL(LOG_SCHEMA)]

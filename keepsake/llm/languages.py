@@ -27,7 +27,7 @@ BUCKETS = 1 << 16
 SWITCH = 12.0
 # A language may be written in a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
-CHUNK_CHARS = 1 << 21
+CHUNK_CHARS = 1 << 19
 
 # First and last code point of the scripts told apart (block borders of Unicode).
 SCRIPTS = {

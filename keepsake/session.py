@@ -15,6 +15,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # Texts may be long: fewer of them per Arrow batch keep Python workers small.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     # Shuffle files go when their query ends; what later steps need is in written tables.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }

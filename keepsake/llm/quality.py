@@ -155,18 +155,24 @@ def estimate_prior(positive: np.ndarray, unlabelled: np.ndarray) -> float:
     return float(np.clip(u[best] / max(p[best], 1e-9), 0.02, 0.98))
 
 
-def learn_quality(results: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> QualityModel | None:
-    """A classifier from ``result_text, trusted`` of semantic results.
-
-    Rows with ``trusted`` true are positives; all rows, whatever they say, are the unlabelled
-    texts. Of more than the given numbers of rows a random share of about that many is
-    taken; only features of these bounded samples reach the driver. Without positives or
-    texts there is nothing to learn and the model is None.
+def learn_quality(
+    results: DataFrame, trusted: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS
+) -> QualityModel | None:
+    """A classifier from the ``result_text`` of semantic results and the ids that are trusted.
+
+    Results whose object_id is in ``trusted`` are positives; all of them, whatever they are,
+    are the unlabelled texts. Of more than the given numbers of rows a random share of about
+    that many is taken; so the ids that are broadcast and the features that reach the driver
+    are bounded, and no text is shuffled. Without positives or texts there is nothing to learn
+    and the model is None.
     """
-    rows = results.select(F.col("result_text").cast("string").alias("result_text"), F.coalesce(F.col("trusted").cast("boolean"), F.lit(False)).alias("trusted"))
-    counts = rows.agg(F.count_if("trusted").alias("p"), F.count("*").alias("u")).first()
+    rows = results.select("object_id", F.col("result_text").cast("string").alias("result_text"))
+    ids = trusted.select("object_id").filter("object_id IS NOT NULL").distinct()
+    counts = {"p": ids.count(), "u": rows.count()}
     if not counts["p"] or not counts["u"]:
         return None
+    # Chosen by hash, so that the choice does not depend on the order of rows.
+    chosen = ids.filter(F.pmod(F.xxhash64(F.lit(3), "object_id"), F.lit(1 << 30)) < int(min(1.0, positive_rows / counts["p"]) * (1 << 30)))
 
     def measured(part: DataFrame, have: int, want: int, seed: int) -> np.ndarray:
         part = part.sample(min(1.0, want / have), seed=seed) if have > want else part
@@ -179,7 +185,7 @@ def learn_quality(results: DataFrame, positive_rows: int = POSITIVE_ROWS, unlabe
         found = part.select("result_text").mapInArrow(run, "x array<float>").toPandas()["x"]
         return np.stack(found.to_numpy()) if len(found) else np.zeros((0, len(FEATURES)), np.float32)
 
-    positive = measured(rows.filter("trusted"), counts["p"], positive_rows, 1)
+    positive = measured(rows.join(F.broadcast(chosen), "object_id", "left_semi"), 0, positive_rows, 1)
     unlabelled = measured(rows, counts["u"], unlabelled_rows, 2)
     if not len(positive) or not len(unlabelled):
         return None

@@ -123,10 +123,9 @@ def op2_quality_classifier(spark, d):
     from .quality import learn_quality, score_quality
 
     results = results_of(spark, d)
-    # Of a document with several labels the best counts; one row per document, so no text is repeated.
-    labels = table(spark, d, "labels").groupBy(F.col("doc_id").alias("object_id")).agg(F.max("quality").alias("quality"))
-    known = results.filter(fold(5) != 0).join(labels, "object_id", "left")
-    model = learn_quality(known.select("result_text", (F.col("quality") == 1).alias("trusted")))
+    known = results.filter(fold(5) != 0)
+    trusted = table(spark, d, "labels").filter("quality = 1").select(F.col("doc_id").alias("object_id")).filter(fold(5) != 0)
+    model = learn_quality(known, trusted)
     out = score_quality(results, model)
     return out.select(
         doc_id(), (fold(5) == 0).alias("held_out"), F.col("confidence").alias("score"), (F.col("confidence") >= 0.3).cast("int").alias("predicted"))

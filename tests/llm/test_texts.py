@@ -277,13 +277,14 @@ def test_quality_classifier(spark):
     bad = [" ".join(["SPAM!!"] * 40 + invented(k, 5)) for k in range(100)]
     rows = [(k, t, k < 200) for k, t in enumerate(good)] + [(1000 + k, t, None) for k, t in enumerate(bad)]
     known = spark.createDataFrame(rows, "object_id long, result_text string, trusted boolean")
-    model = quality.learn_quality(known)
+    trusted = known.filter("trusted").select("object_id")
+    model = quality.learn_quality(known, trusted)
     assert 0.6 < model.prior < 0.9
     frame = known.unionByName(spark.createDataFrame([(5000, None, None), (5001, "", None), (None, "a", None)], known.schema))
     out = {r.object_id: r.confidence for r in quality.score_quality(frame, model).collect()}
     assert len(out) == 403 and all(0 <= c <= 1 for c in out.values())
     assert sum(out[200 + k] >= 0.3 for k in range(100)) >= 95 and sum(out[1000 + k] >= 0.3 for k in range(100)) <= 5
-    assert quality.learn_quality(known.filter("false")) is None
+    assert quality.learn_quality(known.filter("false"), trusted) is None and quality.learn_quality(known, trusted.limit(0)) is None
     assert {r.confidence for r in quality.score_quality(frame, None).collect()} == {0.5}
     assert quality.score_quality(known.filter("false"), model).isEmpty()
 

@@ -10,14 +10,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 # A key is hot from this many rows on; a chunk spans this many ordinals.
 HOT_ROWS = 1_000_000
 CHUNK_SPAN = 4_000_000
-# The sketch reports at most this many hot keys, whatever the data: it is the proven
-# size of the broadcast. Ranking stays right if a hot key is missed, only slower.
-MAX_HOT_KEYS = 1_000
-TRACKED_KEYS = 10_000
 
 
 def key_hash(keys: list[str]) -> Column:
@@ -25,24 +22,25 @@ def key_hash(keys: list[str]) -> Column:
 
 
 def hot_keys(df: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Hashes of keys with at least ``hot_rows`` rows, from one sketch pass without shuffle."""
-    sketch = df.select(key_hash(keys).alias("_hot")).agg(
-        F.expr(f"approx_top_k(_hot, {MAX_HOT_KEYS}, {TRACKED_KEYS})").alias("top")
-    )
-    return (
-        sketch.select(F.inline("top"))
-        .filter(F.col("count") >= hot_rows)
-        .select(F.col("item").alias("_hot"))
-    )
+    """Hashes of keys with at least ``hot_rows`` rows; only hashes are counted and shuffled."""
+    counted = df.select(key_hash(keys).alias("_hot")).groupBy("_hot").agg(F.count("*").alias("n"))
+    return counted.filter(F.col("n") >= hot_rows).select("_hot")
 
 
 def with_chunks(
     df: DataFrame, keys: list[str], order: str, hot_rows: int = HOT_ROWS, chunk_span: int = CHUNK_SPAN
 ) -> DataFrame:
-    """Add ``_chunk``: 0 for cold keys, the ordinal divided by the span for hot ones."""
+    """Add ``_chunk``: 0 for cold keys, the ordinal divided by the span for hot ones.
+
+    Of a compound ordinal the leading part is divided.
+    """
     hot = hot_keys(df, keys, hot_rows).withColumn("_is_hot", F.lit(True))
+    # There are at most as many hot keys as rows / hot_rows, 8 bytes each: 10^11 rows
+    # at the default give less than a megabyte.
     marked = df.withColumn("_hot", key_hash(keys)).join(F.broadcast(hot), "_hot", "left")
-    chunk = F.when(F.col("_is_hot"), F.expr(f"{order} div {chunk_span}L")).otherwise(F.lit(0).cast("long"))
+    kind = df.schema[order].dataType
+    leading = f"{order}.{kind.fields[0].name}" if isinstance(kind, StructType) else order
+    chunk = F.when(F.col("_is_hot"), F.expr(f"{leading} div {chunk_span}L")).otherwise(F.lit(0).cast("long"))
     return marked.withColumn("_chunk", chunk).drop("_hot")
 
 

@@ -11,7 +11,7 @@ from ..functions.ids import DEFAULT_IDS, IdSpace
 from ..functions.timegeo import unix_to_iso
 from ..operators.upsert import classify, insert_absent, merge_parent_edges
 from ..session import materialise
-from ..sources.conversations import ORDINAL_SPAN, conversation_nodes, ordinal, scan_conversations
+from ..sources.conversations import DOCS_PER_CHUNK, conversation_nodes, ordinal, scan_conversations, scan_lines
 
 # Sources and types of imported objects.
 CONVERSATION, NODE, MESSAGE = "chatgpt.conversation", "chatgpt.node", "chatgpt.message"
@@ -28,14 +28,18 @@ class ConversationImport:
     diagnostics: DataFrame
 
 
-def read_import(documents: DataFrame, ids: IdSpace = DEFAULT_IDS, scoped_nodes: bool = True, strict: bool = True) -> ConversationImport:
+def read_import(documents: DataFrame, ids: IdSpace = DEFAULT_IDS, scoped_nodes: bool = True, strict: bool = True,
+                lines: bool = False) -> ConversationImport:
     """What an export says, as object, edge and diagnostic rows.
 
+    With ``lines`` every document is one conversation, as ``read_exports(..., lines=True)``
+    gives them. What cannot be read is named in the diagnostics.
+
     The JSON is parsed once into a written table of nodes; everything else reads that.
     Node keys are unique within their conversation only, so by default the conversation
     is part of a node's identity; ``scoped_nodes=False`` takes keys as global.
     """
-    scanned = scan_conversations(documents, strict)
+    scanned = scan_lines(documents) if lines else scan_conversations(documents, strict)
     # Without an id a conversation is skipped, its nodes with it.
     skipped = F.when(F.col("conv_id").isNotNull(), F.col("mapping"))
     rows = materialise(conversation_nodes(scanned.withColumn("mapping", skipped)), "conversation-nodes")
@@ -112,7 +116,12 @@ def _diagnostics(conversations: DataFrame, known: DataFrame, nodes: DataFrame, p
 
     text = F.lit
     parts = [
-        rows(conversations.filter("conv_id IS NULL"), "conversation_missing_id", F.lit(None),
+        rows(conversations.filter("mapping_state = 'unreadable' AND conv_pos IS NULL"), "document_unreadable", F.col("raw_uri"),
+             text("Neither a list of conversations nor an object that holds one")),
+        rows(conversations.filter("mapping_state = 'unreadable' AND conv_pos IS NOT NULL"), "conversation_unreadable", F.col("raw_uri"),
+             F.concat(text("No JSON, or beyond the size that can be parsed: conversation "), F.col("conv_pos").cast("string"),
+                      text(" of document "), F.col("doc_id").cast("string"))),
+        rows(conversations.filter("conv_id IS NULL AND mapping_state <> 'unreadable'"), "conversation_missing_id", F.lit(None),
              text("Conversation was skipped because it has no id")),
         rows(known.filter("mapping_state = 'invalid'"), "invalid_mapping", F.col("conv_id"),
              text("Conversation mapping is not an object and was skipped")),
@@ -138,7 +147,7 @@ def import_outcomes(imported: ConversationImport, stored: DataFrame, **hot) -> D
     """Outcome of every delivered object: content decides, order of the export counts."""
     incoming = imported.objects.withColumn("fingerprint", F.col("content_hash"))
     known = stored.withColumn("fingerprint", F.col("content_hash"))
-    return classify(incoming, known, **{"chunk_span": ORDINAL_SPAN, **hot})
+    return classify(incoming, known, **{"chunk_span": DOCS_PER_CHUNK, **hot})
 
 
 def edge_outcomes(imported: ConversationImport, stored_relations: DataFrame, ids: IdSpace = DEFAULT_IDS) -> DataFrame:

@@ -17,6 +17,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     # Texts may be long: fewer of them per Arrow batch keep Python workers small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
+    # Of keys that repeat in a JSON object the last one counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Shuffle files go when their query ends; what later steps need is in written tables.
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }

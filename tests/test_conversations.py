@@ -7,7 +7,7 @@ import pytest
 from keepsake.contracts import TABLES
 from keepsake.operators.upsert import append_versions, apply_outcomes
 from keepsake.plans import conversations as plan
-from keepsake.sources.conversations import read_exports
+from keepsake.sources.conversations import read_exports, scan_conversations
 from pyspark.sql import functions as F
 
 OBJECTS = "object_id string, object_type string, source string, source_id string, content_hash string"
@@ -119,12 +119,78 @@ def test_repeated_message_in_one_batch_last_wins(spark):
     payload = export()
     payload[0]["mapping"]["b"]["message"] = message("m1", "second text")
     batch = plan.read_import(documents(spark, payload))
-    outcomes = plan.import_outcomes(batch, spark.createDataFrame([], OBJECTS), hot_rows=2, chunk_span=1 << 2)
+    outcomes = plan.import_outcomes(batch, spark.createDataFrame([], OBJECTS), hot_rows=2, chunk_span=1)
     rows = outcomes.filter("source_id = 'm1'").orderBy("ordinal").collect()
     assert [row["outcome"] for row in rows] == ["inserted", "changed"]
 
 
 def test_read_exports_from_files(spark, tmp_path):
     (tmp_path / "export.json").write_text(json.dumps(export(), indent=2), encoding="utf-8")
-    docs = read_exports(spark, str(tmp_path)).withColumn("doc_id", F.lit(0).cast("bigint"))
+    docs = read_exports(spark, str(tmp_path))
     assert plan.read_import(docs).objects.count() == 6
+
+
+def test_files_are_numbered_in_path_order_and_lines_in_theirs(spark, tmp_path):
+    for name in ("b.json", "a.json", "c d.json"):
+        (tmp_path / name).write_text(json.dumps(export(name)), encoding="utf-8")
+    rows = read_exports(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [row["raw_uri"].rsplit("/", 1)[1] for row in rows] == ["a.json", "b.json", "c%20d.json"]
+    lines = tmp_path / "lines"
+    lines.mkdir()
+    items = [json.dumps({**export()[0], "conversation_id": f"c{i}"}) for i in range(5)]
+    (lines / "x.jsonl").write_text("\n".join(items[:3] + ["", "{broken"] + items[3:]), encoding="utf-8")
+    batch = plan.read_import(read_exports(spark, str(lines), lines=True), lines=True)
+    found = batch.objects.filter(F.col("source") == plan.CONVERSATION).orderBy("ordinal").collect()
+    assert [row["source_id"] for row in found] == [f"c{i}" for i in range(5)]
+    assert [row["code"] for row in batch.diagnostics.collect()] == ["conversation_unreadable"]
+
+
+def test_order_of_large_document_keys_and_positions(spark):
+    """The last delivery wins for any document key and more conversations than 18 bits hold."""
+    rows = [(key, f"file:///{key}.json", json.dumps(export(f"text {key}"))) for key in (1, 1 << 21, 1 << 22, (1 << 33) + 1, 1 << 62)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, raw_uri string, body string")
+    outcomes = plan.import_outcomes(plan.read_import(docs), spark.createDataFrame([], OBJECTS))
+    wanted = plan.read_import(docs.filter(F.col("doc_id") == 1 << 62)).objects.filter("source_id = 'm1'").first()["content_hash"]
+    assert apply_outcomes(spark.createDataFrame([], OBJECTS), outcomes, ["object_id", "object_type", "source", "source_id", "content_hash"]).filter("source_id = 'm1'").first()["content_hash"] == wanted
+    many = (1 << 18) + 1
+    body = "[" + ",".join('{"id":"same","n":%d}' % i for i in range(many)) + "]"
+    docs = spark.createDataFrame([(0, "u", body), (1, "v", '[{"id":"same","n":-1}]')], "doc_id bigint, raw_uri string, body string")
+    batch = plan.read_import(docs)
+    assert batch.objects.select("ordinal").distinct().count() == many + 1
+    outcomes = plan.import_outcomes(batch, spark.createDataFrame([], OBJECTS), hot_rows=100, chunk_span=1)
+    assert {r["outcome"]: r["count"] for r in outcomes.groupBy("outcome").count().collect()} == {"inserted": 1, "changed": many}
+
+
+def test_large_documents_are_cut_exactly(spark):
+    """Documents beyond the size of a whole parse say the same, and none is lost."""
+    wrapped = {"first": [1], "conversations": export() + [7, {"id": "c2", "mapping": {"n": {"x": 1.50}}}], "last": {"a": "]"}}
+    docs = documents(spark, wrapped, export("other \u00e9 \" ]"), [])
+    columns = ["doc_id", "conv_pos", "conv_id", "content_hash", "mapping_state"]
+    whole = scan_conversations(docs).select(*columns)
+    cut = scan_conversations(docs, whole_bytes=1).select(*columns)
+    assert sorted(map(tuple, cut.collect())) == sorted(map(tuple, whole.collect())) and whole.count() == 3
+    bad = documents(spark, {"chats": []}, export(), "text").unionByName(
+        spark.createDataFrame([(9, "file:///9.json", "[{]"), (10, "file:///10.json", None)], docs.schema))
+    for limit in (1, 1 << 20):
+        states = {r["doc_id"]: r["mapping_state"] for r in scan_conversations(bad, strict=False, whole_bytes=limit).collect()}
+        assert states == {0: "unreadable", 1: "object", 2: "unreadable", 9: "unreadable", 10: "unreadable"}
+        with pytest.raises(Exception, match="not a conversation export"):
+            scan_conversations(bad, whole_bytes=limit).collect()
+
+
+def test_conversation_beyond_the_parser_is_named(spark):
+    body = json.dumps(export())[:-1] + ', {"id": "long", "text": "' + "x" * 20_100_000 + '"}]'
+    for strict in (True, False):
+        batch = plan.read_import(spark.createDataFrame([(0, "file:///a", body)], "doc_id bigint, raw_uri string, body string"), strict=strict)
+        assert [r["code"] for r in batch.diagnostics.collect()] == ["conversation_unreadable"] and batch.objects.count() == 6
+
+
+def test_last_of_repeated_keys_counts(spark):
+    docs = spark.createDataFrame([(0, "u", '[{"id": "a", "id": "b"}]')], "doc_id bigint, raw_uri string, body string")
+    assert [r["conv_id"] for r in scan_conversations(docs).collect()] == ["b"]
+
+
+def test_unreadable_documents_are_diagnosed(spark):
+    batch = plan.read_import(documents(spark, {"chats": []}, export()), strict=False)
+    assert [(r["code"], r["source_id"]) for r in batch.diagnostics.collect()] == [("document_unreadable", "file:///0.json")]
+    assert batch.objects.count() == 6

@@ -39,8 +39,8 @@ nodes AS (SELECT *, 'm' AS key, CASE v WHEN 4 THEN 1 ELSE 0 END AS pos, sha256(n
 objs AS (SELECT 'chatgpt_conversation' AS object_type, {CONV} AS source, cid AS source_id, sha256(conv_json) AS content_hash, '2023-11-14T22:13:20.500000+00:00' AS occurred_at, NULL AS topic, doc_id, v, 0 AS pos, 0 AS kind FROM ok
   UNION ALL SELECT 'chatgpt_node', {NODE}, cid || '/' || key, h, CASE WHEN key = 'm' THEN strftime(make_timestamp((1700000000 + turn) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00' END, NULL, doc_id, v, pos, 1 FROM nodes
   UNION ALL SELECT 'chatgpt_message_' || role, {MSG}, mid, sha256(message_json), strftime(make_timestamp((1700000000 + turn) * 1000000), '%Y-%m-%dT%H:%M:%S') || '+00:00', CASE v WHEN 6 THEN 'thoughts' ELSE 'text' END, doc_id, v, pos, 2 FROM nodes WHERE key = 'm' AND v <> 5),
-keyed AS (SELECT *, {object_id(DUCK, 'source', 'source_id')} AS object_id, (doc_id << 42) + ((CASE v WHEN 1 THEN 1 ELSE 0 END)::BIGINT << 24) + (pos::BIGINT << 2) + kind AS ordinal FROM objs),
-judged AS (SELECT k.*, coalesce(lag(k.content_hash) OVER (PARTITION BY k.source, k.source_id ORDER BY ordinal), s.content_hash) AS before FROM keyed k LEFT JOIN v_conv_stored s USING (source, source_id)),
+keyed AS (SELECT *, {object_id(DUCK, 'source', 'source_id')} AS object_id, CASE v WHEN 1 THEN 1 ELSE 0 END::BIGINT AS conv_pos, pos::BIGINT AS node_pos FROM objs),
+judged AS (SELECT k.*, coalesce(lag(k.content_hash) OVER (PARTITION BY k.source, k.source_id ORDER BY doc_id, conv_pos, node_pos, kind), s.content_hash) AS before FROM keyed k LEFT JOIN v_conv_stored s USING (source, source_id)),
 outcomes AS (SELECT *, CASE WHEN before IS NULL THEN 'inserted' WHEN before = content_hash THEN 'unchanged' ELSE 'changed' END AS outcome FROM judged),
 edges AS (SELECT 'conversation_contains_node' AS relation_type, {object_id(DUCK, CONV, 'cid')} AS from_object_id, {object_id(DUCK, NODE, "(cid || '/' || key)")} AS to_object_id, 'inserted' AS outcome FROM nodes
   UNION ALL SELECT DISTINCT 'node_contains_message', {object_id(DUCK, NODE, "(cid || '/m')")}, {object_id(DUCK, MSG, 'mid')}, 'inserted' FROM nodes WHERE key = 'm' AND v <> 5
@@ -75,10 +75,10 @@ def parents(spark, d):
     return plan.resolve_parents(nodes).select("node_id", "parent_id", "parent_missing")
 
 
-@query("conv_objects", EXPECTED + "SELECT object_id, object_type, source, source_id, content_hash, occurred_at, topic, outcome, ordinal FROM outcomes", views=EXPORT_VIEWS)
+@query("conv_objects", EXPECTED + "SELECT object_id, object_type, source, source_id, content_hash, occurred_at, topic, outcome, doc_id, conv_pos, node_pos, kind FROM outcomes", views=EXPORT_VIEWS)
 def objects(spark, d):
     return plan.import_outcomes(imported(spark, d), stored_objects(spark, d)).select(
-        "object_id", "object_type", "source", "source_id", "content_hash", "occurred_at", "topic", "outcome", "ordinal")
+        "object_id", "object_type", "source", "source_id", "content_hash", "occurred_at", "topic", "outcome", "ordinal.*")
 
 
 @query("conv_relations", EXPECTED + f"SELECT relation_type, from_object_id, to_object_id, outcome, '{DEFAULT_IDS.prefix}_rel_' || {DUCK.uuid('''('relation:' || relation_type || ':' || from_object_id || ':' || to_object_id)''')} AS relation_id FROM edges", views=EXPORT_VIEWS)

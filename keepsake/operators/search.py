@@ -1,9 +1,9 @@
-"""Ranked evidence search for many queries at once.
+"""Ranked evidence search for many queries at once, over a token index.
 
-Evidence is matched where it is scanned, against the distinct words the queries ask
-for; only matches are shuffled, never evidence text. Per-object state is a set of
-concepts bounded by the query, so an object with millions of evidence rows aggregates
-like any other.
+The index is made once per archive: one row per evidence row and distinct token, with the
+type and time of its object, laid out by token. Searching joins the tokens asked for with
+it and reads no text. Per-object state is a set of concepts bounded by the query, so an
+object with millions of evidence rows aggregates like any other.
 """
 
 from __future__ import annotations
@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import DEFAULT_IDS
 from ..functions.text import VOCABULARY, contains_alias, normalize, snippet, tokens
-from ..functions.timegeo import has_offset, in_time_range, iso_micros
+from ..functions.timegeo import has_offset, in_time_range, iso_micros, time_conflict
 from ..session import materialise
 from .hotkeys import top_rows
 
 MAX_LIMIT, DEFAULT_LIMIT, MAX_QUERY_CHARS = 100, 10, 2000
-# The needle table is broadcast only up to this many rows; beyond, it is shuffled.
-BROADCAST_NEEDLES = 200_000
+TIME_CONFLICT = "time filters and object times must use compatible offsets"
+INDEX, TERMS = "search_index", "search_terms"
 USABLE = ("complete", "partial")
 DEFAULT_CONFIDENCE = 0.5
 
@@ -141,83 +141,82 @@ def newest_extractions(extractions: DataFrame) -> DataFrame:
     return newest.select("object_id", F.col("e.extraction_id").alias("evidence_id"))
 
 
-@dataclass(frozen=True)
-class Needles:
-    """Distinct words asked for, the lengths they have, and the phrases among them.
+def phrases_of(vocabulary: dict[str, tuple[str, ...]]) -> tuple[str, ...]:
+    return tuple(sorted({alias for aliases in vocabulary.values() for alias in aliases if " " in alias}))
 
-    Only vocabulary aliases are phrases, so their number is fixed by the vocabulary.
-    """
 
-    table: DataFrame
-    lengths: tuple[int, ...]
-    phrases: tuple[str, ...]
-    small: bool
-
-    @classmethod
-    def of(cls, roles: DataFrame) -> "Needles":
-        table = roles.select("needle").distinct()
-        phrase = F.col("needle").contains(" ")
-        # One small row: lengths are bounded by the query length, phrases by the vocabulary.
-        shape = table.agg(
-            F.count("*").alias("n"),
-            F.collect_set(F.when(~phrase, F.char_length("needle"))).alias("lengths"),
-            F.collect_set(F.when(phrase, F.col("needle"))).alias("phrases"),
-        ).first()
-        return cls(table, tuple(sorted(shape["lengths"])), tuple(sorted(shape["phrases"])), shape["n"] <= BROADCAST_NEEDLES)
-
-    def side(self, df: DataFrame) -> DataFrame:
-        return F.broadcast(df) if self.small else df
-
-
-def match(pieces: DataFrame, needles: Needles) -> DataFrame:
-    """Pairs of evidence row and needle found in its ``text`` (which is dropped).
-
-    A word needle is found as the start of any word: every distinct word offers its
-    prefixes of the lengths asked for, and an equality join does the rest instead of a
-    text scan per needle. The few phrases are looked up in the text directly.
-    """
+def evidence_tokens(pieces: DataFrame, phrases: tuple[str, ...]) -> DataFrame:
+    """Each distinct word of ``text`` (which is dropped), and the phrases it holds, as ``token``."""
     kept = [name for name in pieces.columns if name != "text"]
     normal = pieces.select(*kept, F.concat(F.lit(" "), normalize(F.col("text")), F.lit(" ")).alias("_normal"))
     offered = F.array_distinct(F.split("_normal", " "))
-    if needles.phrases:
-        offered = F.concat(offered, F.array(*[
-            F.when(F.col("_normal").contains(f" {phrase} "), F.lit(phrase)) for phrase in needles.phrases
-        ]))
-    word = normal.select(*kept, F.explode(offered).alias("_word")).filter("_word <> ''")
-    phrase = F.col("_word").contains(" ")
-    prefixes = [F.when(~phrase & (F.char_length("_word") >= size), F.substring("_word", 1, size)) for size in needles.lengths]
-    if needles.phrases:
-        prefixes.append(F.when(phrase, F.col("_word")))
-    found = word.select(*kept, F.explode(F.array(*prefixes)).alias("needle")).filter("needle IS NOT NULL")
-    # Several words start alike: one row per needle, before queries multiply it.
-    return found.join(needles.side(needles.table), "needle", "left_semi").distinct()
-
-
-def matched_evidence(tables: dict[str, DataFrame], needles: Needles) -> DataFrame:
-    """Rows ``object_id, evidence_id, evidence_kind, is_place, confidence, needle``, repeats possible."""
+    if phrases:
+        offered = F.concat(offered, F.array(*[F.when(F.col("_normal").contains(f" {phrase} "), F.lit(phrase)) for phrase in phrases]))
+    return normal.select(*kept, F.explode(offered).alias("token")).filter("token <> ''")
+
+
+def build_index(tables: dict[str, DataFrame], vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+    """The token index, to be written once per archive.
+
+    Only objects that can be found are in it, with the newest of their metadata. Rows are
+    laid out by token; a token that occurs everywhere is spread by object.
+    """
     rows = evidence(tables)
-    columns = ["object_id", "evidence_id", "semantic_type", "confidence", "needle"]
-    targets = match(rows["target"], needles)
-    owners = usable_results(tables["semantic_results"]).select(
-        "object_id", F.col("semantic_result_id"), "semantic_type", "confidence"
-    )
-    through = targets.join(owners, "semantic_result_id", "inner").withColumnRenamed("semantic_result_id", "evidence_id")
+    owners = usable_results(tables["semantic_results"]).select("object_id", "semantic_result_id", "semantic_type", "confidence")
+    targets = rows.pop("target").join(owners, "semantic_result_id", "inner").withColumnRenamed("semantic_result_id", "evidence_id")
     newest = newest_extractions(tables["metadata_extractions"])
-    parts = {
-        "semantic_result": match(rows["semantic_result"], needles).unionByName(through.select(*columns)),
-        **{kind: match(rows[kind], needles) for kind in ("canonical_metadata", "object_relation")},
-        # Matched first, then reduced to the newest: the join sees matches only.
-        "derived_metadata": match(rows["derived_metadata"], needles).join(newest, ["object_id", "evidence_id"], "left_semi"),
-    }
-    result = None
-    for kind, part in parts.items():
-        if kind == "semantic_result":
-            is_place = F.col("semantic_type") == "detected_places"
-        else:
-            is_place = F.lit(kind == "derived_metadata")
-        part = part.select(*columns, F.lit(kind).alias("evidence_kind"), is_place.alias("is_place"))
-        result = part if result is None else result.unionByName(part)
-    return result
+    rows["derived_metadata"] = rows["derived_metadata"].join(newest, ["object_id", "evidence_id"], "left_semi")
+    pieces = None
+    for kind, part in [*rows.items(), ("semantic_result", targets)]:
+        part = part.select("object_id", "evidence_id", "semantic_type", "confidence", "text", F.lit(kind).alias("evidence_kind"))
+        pieces = part if pieces is None else pieces.unionByName(part)
+    found = candidates(tables).select("object_id", "object_type", "occurred_at", "captured_at")
+    phrases = phrases_of(vocabulary)
+    tokens_ = evidence_tokens(pieces.join(found, "object_id", "inner"), phrases)
+    is_place = (F.col("evidence_kind") == "derived_metadata") | (
+        (F.col("evidence_kind") == "semantic_result") & (F.col("semantic_type") == "detected_places"))
+    index = tokens_.withColumn("is_place", F.coalesce(is_place, F.lit(False)))
+    return index.repartitionByRange("token", "object_id").sortWithinPartitions("token")
+
+
+def terms_of(index: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+    """Distinct tokens of a written index, and all phrases of its vocabulary.
+
+    Phrases are there even where none occurs, so that searches with a vocabulary the
+    index does not know are refused.
+    """
+    known = index.sparkSession.createDataFrame([(phrase,) for phrase in phrases_of(vocabulary)], "token string")
+    return index.select("token").unionByName(known).distinct()
+
+
+def with_index(tables: dict[str, DataFrame], vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> dict[str, DataFrame]:
+    """The tables with a token index; one that is not there is made for this call."""
+    if INDEX in tables:
+        return tables
+    index = materialise(build_index(tables, vocabulary), "search-index")
+    return {**tables, INDEX: index, TERMS: materialise(terms_of(index, vocabulary), "search-terms")}
+
+
+def needle_tokens(terms: DataFrame, roles: DataFrame) -> DataFrame:
+    """Pairs ``needle, token``: a word is found as the start of any token, a phrase as itself.
+
+    Every distinct term offers its prefixes of the lengths asked for, and an equality
+    join does the rest.
+    """
+    needles = roles.select("needle").distinct()
+    phrase = F.col("needle").contains(" ")
+    # One small row: lengths are bounded by the query length, phrases by the vocabulary.
+    shape = needles.agg(
+        F.collect_set(F.when(~phrase, F.char_length("needle"))).alias("lengths"),
+        F.collect_set(F.when(phrase, F.col("needle"))).alias("phrases"),
+    ).first()
+    token, many = F.col("token"), F.col("token").contains(" ")
+    known = {row["token"] for row in terms.filter(many).filter(token.isin(shape["phrases"])).collect()}
+    if set(shape["phrases"]) - known:
+        raise ValueError(f"the search index was made without these phrases: {sorted(set(shape['phrases']) - known)}")
+    fitting = F.filter(F.array(*[F.lit(n) for n in sorted(shape["lengths"])]).cast("array<int>"), lambda n: n <= F.char_length(token))
+    starts = F.when(many, F.array(token)).otherwise(F.transform(fitting, lambda n: token.substr(F.lit(1), n)))
+    return terms.select("token", F.explode(starts).alias("needle")).join(needles, "needle", "inner")
 
 
 def candidates(tables: dict[str, DataFrame]) -> DataFrame:
@@ -226,29 +225,43 @@ def candidates(tables: dict[str, DataFrame]) -> DataFrame:
     return tables["objects"].join(having, "object_id", "left_semi")
 
 
+def _right_type() -> Column:
+    return (F.coalesce("media_type", F.lit("")) == "") | (F.col("object_type") == F.col("media_type"))
+
+
+def _seen_at() -> Column:
+    return F.coalesce(F.when(F.col("occurred_at") != "", F.col("occurred_at")), F.col("captured_at"))
+
+
 def passes_filters() -> Column:
     """Type and time filters of the query on the object of a joined row."""
-    when = F.coalesce(F.when(F.col("occurred_at") != "", F.col("occurred_at")), F.col("captured_at"))
-    return (
-        (F.coalesce("media_type", F.lit("")) == "") | (F.col("object_type") == F.col("media_type"))
-    ) & in_time_range(when, F.col("time_from"), F.col("time_to"))
+    return _right_type() & in_time_range(_seen_at(), F.col("time_from"), F.col("time_to"))
 
 
 def query_matches(tables: dict[str, DataFrame], prepared: DataFrame,
                   vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
-    """One row per query, object and evidence: the concepts (or place words) it matches."""
+    """One row per query, object and evidence: the concepts (or place words) it matches.
+
+    Filters are applied where index rows meet queries. Objects whose time cannot be
+    compared with the filter stay, marked ``time_conflict``; they are no hits.
+    """
+    tables = with_index(tables, vocabulary)
     asked = query_concepts(prepared, vocabulary)
     places = place_needles(prepared)
+    filters = prepared.select("query_id", "media_type", "time_from", "time_to")
     roles = asked.select("query_id", "needle", "concept", F.lit("concept").alias("role")).unionByName(
         places.select("query_id", "needle", F.col("needle").alias("concept"), F.lit("place").alias("role"))
     )
-    roles = materialise(roles, "needles")
-    needles = Needles.of(roles)
-    few = _few(roles)
-    hits = matched_evidence(tables, needles).join(F.broadcast(roles) if few else roles, "needle", "inner")
-    hits = hits.filter((F.col("role") == "concept") | F.col("is_place"))
+    roles = materialise(roles.join(filters, "query_id"), "needles")
+    wanted = roles.join(needle_tokens(tables[TERMS], roles), "needle", "inner").drop("needle")
+    # Several aliases of a concept may start the same token.
+    hits = tables[INDEX].join(wanted.distinct(), "token", "inner")
+    conflict = time_conflict(_seen_at(), F.col("time_from"), F.col("time_to"))
+    hits = hits.filter(((F.col("role") == "concept") | F.col("is_place")) & _right_type())
+    hits = hits.withColumn("time_conflict", conflict).filter(
+        F.col("time_conflict") | in_time_range(_seen_at(), F.col("time_from"), F.col("time_to")))
     # Concepts per evidence row are bounded by the query.
-    return hits.groupBy("query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "role").agg(
+    return hits.groupBy("query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "role", "time_conflict").agg(
         F.collect_set("concept").alias("concepts"), F.max("confidence").alias("confidence")
     )
 
@@ -267,7 +280,7 @@ def score_hits(matches: DataFrame, tables: dict[str, DataFrame], prepared: DataF
         F.count_if(once).alias("n_evidence"),
         F.coalesce(F.avg(F.when(once, F.col("confidence"))), F.lit(DEFAULT_CONFIDENCE)).alias("mean_confidence"),
     ).filter(F.size("matched") > 0)
-    per_object = per_object.join(F.broadcast(info) if _few(prepared) else info, "query_id", "inner")
+    per_object = per_object.join(info, "query_id", "inner")
     per_object = per_object.filter(F.col("n_place") == F.size("place_words"))
     objects = candidates(tables).select("object_id", "object_type", "raw_uri", "occurred_at", "captured_at")
     joined = per_object.join(objects, "object_id", "inner").filter(passes_filters())
@@ -289,11 +302,6 @@ def score_hits(matches: DataFrame, tables: dict[str, DataFrame], prepared: DataF
     )
 
 
-def _few(df: DataFrame) -> bool:
-    """Whether a table is small enough to broadcast; reads at most one row over the bound."""
-    return df.limit(BROADCAST_NEEDLES + 1).count() <= BROADCAST_NEEDLES
-
-
 def top_hits(scored: DataFrame) -> DataFrame:
     """The best ``k`` hits per query, ties by object id."""
     best = top_rows(scored, ["query_id"], [F.col("score").desc(), F.col("object_id")], MAX_LIMIT)
@@ -327,6 +335,7 @@ class SearchAnswer:
     hits: DataFrame
     evidence: DataFrame
     summary: DataFrame
+    errors: DataFrame
 
 
 def search(tables: dict[str, DataFrame], queries: DataFrame,
@@ -334,7 +343,9 @@ def search(tables: dict[str, DataFrame], queries: DataFrame,
     """Answer a table of queries (``query_id, query, media_type, time_from, time_to, place, k``).
 
     Queries with errors are left out; see ``query_rejects``. Only the top hits carry
-    their evidence rows, and a snippet is cut only for those.
+    their evidence rows, and a snippet is cut only for those. ``errors`` names the queries
+    with a time filter that some matching object cannot be compared with; these objects
+    are left out, all others are found.
     """
     valid = prepare(queries, vocabulary).filter("error IS NULL")
     # Hits, evidence and summary all come from the matches, so these are found once.
@@ -342,21 +353,20 @@ def search(tables: dict[str, DataFrame], queries: DataFrame,
     scored = score_hits(matches, tables, valid)
     hits = materialise(top_hits(scored), "hits")
     wanted = hits.select("query_id", "object_id")
-    wanted = F.broadcast(wanted) if _few(wanted) else wanted
     rows = matches.filter("role = 'concept'").join(wanted, ["query_id", "object_id"], "left_semi")
-    return SearchAnswer(hits, rows, summarise(scored, valid))
+    errors = matches.filter("time_conflict").select("query_id", F.lit(TIME_CONFLICT).alias("error")).distinct()
+    return SearchAnswer(hits, rows.drop("time_conflict"), summarise(scored, valid), errors)
 
 
 def evidence_snippets(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
     """Add what each evidence row shows and where it comes from.
 
     The rows belong to top hits, so they are few and travel to the texts, not the other
-    way round; how few is checked.
+    way round.
     """
     parts = evidence(tables)
     columns = rows.columns
     rows = materialise(rows, "shown")
-    rows = F.broadcast(rows) if _few(rows) else rows
     results = usable_results(tables["semantic_results"]).select(
         F.col("semantic_result_id").alias("evidence_id"), F.lit("semantic_result").alias("evidence_kind"),
         snippet(F.col("result_text"), F.col("result_json"), F.col("semantic_type")).alias("snippet"),
@@ -385,14 +395,11 @@ def scan_matches(tables: dict[str, DataFrame], prepared: DataFrame,
                  vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
     """The plain form of ``query_matches``: every evidence text is tested for every needle.
 
-    Kept as the yardstick of the rank parity report; needs a query table small enough to
-    broadcast and says so otherwise.
+    Kept as the yardstick of the rank parity report, for few queries.
     """
     asked = query_concepts(prepared, vocabulary).select("query_id", "concept", "needle", F.lit("concept").alias("role"))
     places = place_needles(prepared).select("query_id", F.col("needle").alias("concept"), "needle", F.lit("place").alias("role"))
     wanted = asked.unionByName(places)
-    if not _few(wanted):
-        raise ValueError("plain matching is for small query tables")
     rows = evidence(tables)
     owners = usable_results(tables["semantic_results"]).select("object_id", "semantic_result_id", "semantic_type", "confidence")
     rows["target"] = rows["target"].join(owners, "semantic_result_id", "inner").withColumnRenamed("semantic_result_id", "evidence_id")
@@ -404,7 +411,7 @@ def scan_matches(tables: dict[str, DataFrame], prepared: DataFrame,
         part = part.select("object_id", "evidence_id", "semantic_type", "confidence", normalize(F.col("text")).alias("normal"), F.lit(named).alias("evidence_kind"))
         pieces = part if pieces is None else pieces.unionByName(part)
     is_place = (F.col("semantic_type") == "detected_places") | (F.col("evidence_kind") == "derived_metadata")
-    hits = pieces.join(F.broadcast(wanted), contains_alias(F.col("normal"), F.col("needle")), "inner")
+    hits = pieces.join(wanted, contains_alias(F.col("normal"), F.col("needle")), "inner")
     return hits.filter((F.col("role") == "concept") | is_place).groupBy(
         "query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "role"
     ).agg(F.collect_set("concept").alias("concepts"), F.max("confidence").alias("confidence"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..contracts import AUDIT_COLUMNS, TABLES
 from ..operators.quality import align
+from ..operators.search import INDEX, TERMS, build_index, terms_of
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:
@@ -33,6 +34,22 @@ def write_snapshot(tables: dict[str, DataFrame], root: str) -> None:
         writer.parquet(f"{root.rstrip('/')}/{name}")
 
 
+def write_index(tables: dict[str, DataFrame], root: str, **options) -> None:
+    """Write the token index that searches read, beside the tables it is made from.
+
+    Terms are taken from the written index, so texts are cut into tokens once.
+    """
+    index = build_index(tables, **options)
+    root = root.rstrip("/")
+    index.write.mode("errorifexists").parquet(f"{root}/{INDEX}")
+    written = index.sparkSession.read.parquet(f"{root}/{INDEX}")
+    terms_of(written, **options).write.mode("errorifexists").parquet(f"{root}/{TERMS}")
+
+
+def read_index(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    return {name: spark.read.parquet(f"{root.rstrip('/')}/{name}") for name in (INDEX, TERMS)}
+
+
 def audit_problem(df: DataFrame) -> str | None:
     """Why a frame is no audit log: every column must be allowed and present."""
     extra = sorted(set(df.columns) - set(AUDIT_COLUMNS))

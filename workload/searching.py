@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from keepsake import shared_dir
 from keepsake.functions.ids import DEFAULT_IDS
 from keepsake.operators import compact, search
-from keepsake.sources.tables import read_archive, write_snapshot
+from keepsake.sources.tables import read_archive, read_index, write_index, write_snapshot
 
 from .fragments import CONCEPT_CTES, collapse, found_in, norm, toks
 from .registry import query
@@ -33,8 +33,9 @@ def archive(spark, d):
     if key not in _WRITTEN:
         root = shared_dir(spark, "archive-index")
         write_snapshot(tables, root)
+        write_index(read_archive(spark, root, list(tables)), root)
         _WRITTEN[key] = root
-    return read_archive(spark, _WRITTEN[key], list(tables))
+    return read_archive(spark, _WRITTEN[key], list(tables)) | read_index(spark, _WRITTEN[key])
 
 
 def asked(spark, d):

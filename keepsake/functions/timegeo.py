@@ -93,8 +93,7 @@ def timestamp_error(text: Column, field: str, required: bool) -> Column:
 def in_time_range(value: Column, start: Column, end: Column) -> Column:
     """Inclusive range test; unreadable times are outside any given range.
 
-    So is a time that has an offset where the bound has none, or the other way round;
-    ``time_conflict`` tells these.
+    So is a time that has an offset where the bound has none, or the other way round.
     """
     current = iso_micros(value)
 
@@ -111,13 +110,6 @@ def in_time_range(value: Column, start: Column, end: Column) -> Column:
     )
 
 
-def time_conflict(value: Column, start: Column, end: Column) -> Column:
-    """Whether a readable time cannot be compared with a bound: only one of them has an offset."""
-    readable = iso_micros(value).isNotNull()
-    differs = lambda limit: limit.isNotNull() & (has_offset(limit) != has_offset(value))
-    return F.coalesce(readable & (differs(start) | differs(end)), F.lit(False))
-
-
 def exif_datetime(value: Column, offset: Column) -> Column:
     """``YYYY:MM:DD HH:MM:SS`` with ``±HH:MM`` to ISO text; null when either is invalid."""
     pattern = r"^(\d{4}):(\d{2}):(\d{2}) (\d{2}:\d{2}:\d{2})$"

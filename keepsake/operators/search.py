@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import DEFAULT_IDS
 from ..functions.text import VOCABULARY, contains_alias, normalize, snippet, tokens
-from ..functions.timegeo import has_offset, in_time_range, iso_micros, time_conflict
+from ..functions.timegeo import has_offset, in_time_range, iso_micros
 from ..session import materialise
 from .hotkeys import top_rows
 
@@ -172,6 +172,8 @@ def build_index(tables: dict[str, DataFrame], vocabulary: dict[str, tuple[str, .
         pieces = part if pieces is None else pieces.unionByName(part)
     found = candidates(tables).select("object_id", "object_type", "occurred_at", "captured_at")
     phrases = phrases_of(vocabulary)
+    # Times are read once here, so that filters compare numbers.
+    found = found.select("object_id", "object_type", iso_micros(_seen_at()).alias("seen_us"), has_offset(_seen_at()).alias("seen_offset"))
     tokens_ = evidence_tokens(pieces.join(found, "object_id", "inner"), phrases)
     is_place = (F.col("evidence_kind") == "derived_metadata") | (
         (F.col("evidence_kind") == "semantic_result") & (F.col("semantic_type") == "detected_places"))
@@ -248,7 +250,9 @@ def query_matches(tables: dict[str, DataFrame], prepared: DataFrame,
     tables = with_index(tables, vocabulary)
     asked = query_concepts(prepared, vocabulary)
     places = place_needles(prepared)
-    filters = prepared.select("query_id", "media_type", "time_from", "time_to")
+    filters = prepared.select("query_id", "media_type", *[
+        part for name in ("time_from", "time_to")
+        for part in (iso_micros(F.col(name)).alias(f"{name}_us"), has_offset(F.col(name)).alias(f"{name}_offset"))])
     roles = asked.select("query_id", "needle", "concept", F.lit("concept").alias("role")).unionByName(
         places.select("query_id", "needle", F.col("needle").alias("concept"), F.lit("place").alias("role"))
     )
@@ -256,10 +260,14 @@ def query_matches(tables: dict[str, DataFrame], prepared: DataFrame,
     wanted = roles.join(needle_tokens(tables[TERMS], roles), "needle", "inner").drop("needle")
     # Several aliases of a concept may start the same token.
     hits = tables[INDEX].join(wanted.distinct(), "token", "inner")
-    conflict = time_conflict(_seen_at(), F.col("time_from"), F.col("time_to"))
+    given = lambda name: F.col(f"{name}_us").isNotNull()
+    conflict = F.col("seen_us").isNotNull() & (
+        (given("time_from") & (F.col("time_from_offset") != F.col("seen_offset")))
+        | (given("time_to") & (F.col("time_to_offset") != F.col("seen_offset"))))
+    inside = (~given("time_from") | (F.col("seen_us") >= F.col("time_from_us"))) & (
+        ~given("time_to") | (F.col("seen_us") <= F.col("time_to_us")))
     hits = hits.filter(((F.col("role") == "concept") | F.col("is_place")) & _right_type())
-    hits = hits.withColumn("time_conflict", conflict).filter(
-        F.col("time_conflict") | in_time_range(_seen_at(), F.col("time_from"), F.col("time_to")))
+    hits = hits.withColumn("time_conflict", F.coalesce(conflict, F.lit(False))).filter(F.col("time_conflict") | inside)
     # Concepts per evidence row are bounded by the query.
     return hits.groupBy("query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "role", "time_conflict").agg(
         F.collect_set("concept").alias("concepts"), F.max("confidence").alias("confidence")
@@ -267,10 +275,13 @@ def query_matches(tables: dict[str, DataFrame], prepared: DataFrame,
 
 
 def score_hits(matches: DataFrame, tables: dict[str, DataFrame], prepared: DataFrame) -> DataFrame:
-    """Every hit of every query with its score, before any limit."""
-    info = prepared.select("query_id", "k", "media_type", "time_from", "time_to", "requested", "place_words")
+    """Every hit of every query with its score, before any limit.
+
+    Matches come filtered; what could not be compared with a time filter is left out here.
+    """
+    info = prepared.select("query_id", "k", "requested", "place_words")
     is_concept = F.col("role") == "concept"
-    rows = matches.select(
+    rows = matches.filter("NOT time_conflict").select(
         "query_id", "object_id", "role", "confidence", F.posexplode("concepts").alias("nth", "concept")
     )
     once = is_concept & (F.col("nth") == 0)
@@ -282,8 +293,8 @@ def score_hits(matches: DataFrame, tables: dict[str, DataFrame], prepared: DataF
     ).filter(F.size("matched") > 0)
     per_object = per_object.join(info, "query_id", "inner")
     per_object = per_object.filter(F.col("n_place") == F.size("place_words"))
-    objects = candidates(tables).select("object_id", "object_type", "raw_uri", "occurred_at", "captured_at")
-    joined = per_object.join(objects, "object_id", "inner").filter(passes_filters())
+    objects = tables["objects"].select("object_id", "object_type", "raw_uri", "occurred_at", "captured_at")
+    joined = per_object.join(objects, "object_id", "inner")
     coverage = F.size("matched") / F.size("requested")
     missing = F.array_except("requested", "matched")
     score = (
@@ -411,10 +422,13 @@ def scan_matches(tables: dict[str, DataFrame], prepared: DataFrame,
         part = part.select("object_id", "evidence_id", "semantic_type", "confidence", normalize(F.col("text")).alias("normal"), F.lit(named).alias("evidence_kind"))
         pieces = part if pieces is None else pieces.unionByName(part)
     is_place = (F.col("semantic_type") == "detected_places") | (F.col("evidence_kind") == "derived_metadata")
-    hits = pieces.join(wanted, contains_alias(F.col("normal"), F.col("needle")), "inner")
-    return hits.filter((F.col("role") == "concept") | is_place).groupBy(
-        "query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "role"
-    ).agg(F.collect_set("concept").alias("concepts"), F.max("confidence").alias("confidence"))
+    found = candidates(tables).select("object_id", "object_type", "occurred_at", "captured_at")
+    hits = pieces.join(wanted, contains_alias(F.col("normal"), F.col("needle")), "inner").filter((F.col("role") == "concept") | is_place)
+    filters = prepared.select("query_id", "media_type", "time_from", "time_to")
+    hits = hits.join(found, "object_id", "inner").join(filters, "query_id").filter(passes_filters())
+    return hits.groupBy("query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "role").agg(
+        F.collect_set("concept").alias("concepts"), F.max("confidence").alias("confidence")
+    ).withColumn("time_conflict", F.lit(False))
 
 
 def object_records(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -258,8 +258,10 @@ def query_matches(tables: dict[str, DataFrame], prepared: DataFrame,
     )
     roles = materialise(roles.join(filters, "query_id"), "needles")
     wanted = roles.join(needle_tokens(tables[TERMS], roles), "needle", "inner").drop("needle")
-    # Several aliases of a concept may start the same token.
-    hits = tables[INDEX].join(wanted.distinct(), "token", "inner")
+    # Several aliases of a concept may start the same token. Written, the table has a known
+    # size: the optimiser broadcasts it below its threshold and shuffles it above.
+    wanted = materialise(wanted.distinct(), "wanted-tokens")
+    hits = tables[INDEX].join(wanted, "token", "inner")
     given = lambda name: F.col(f"{name}_us").isNotNull()
     conflict = F.col("seen_us").isNotNull() & (
         (given("time_from") & (F.col("time_from_offset") != F.col("seen_offset")))

@@ -20,22 +20,23 @@ SEARCH_VIEWS = (*TABLES, "v_queries")
 _WRITTEN: dict[tuple[str, str], str] = {}
 
 
+NAMES = ("objects", "attachments", "semantic_results", "semantic_relations", "metadata_extractions", "relations")
+
+
 def index_tables(spark, d):
     """The tables of the searchable archive, made from the given data."""
-    names = ("objects", "attachments", "semantic_results", "semantic_relations", "metadata_extractions", "relations")
-    return {name: load(spark, d, view).drop("doc_id", "kind") for name, view in zip(names, TABLES)}
+    return {name: load(spark, d, view).drop("doc_id", "kind") for name, view in zip(NAMES, TABLES)}
 
 
 def archive(spark, d):
     """The same tables as a written index, as searches use it; written once per session."""
     key = (spark.sparkContext.applicationId, d)
-    tables = index_tables(spark, d)
     if key not in _WRITTEN:
         root = shared_dir(spark, "archive-index")
-        write_snapshot(tables, root)
-        write_index(read_archive(spark, root, list(tables)), root)
+        write_snapshot(index_tables(spark, d), root)
+        write_index(read_archive(spark, root, list(NAMES)), root)
         _WRITTEN[key] = root
-    return read_archive(spark, _WRITTEN[key], list(tables)) | read_index(spark, _WRITTEN[key])
+    return read_archive(spark, _WRITTEN[key], list(NAMES)) | read_index(spark, _WRITTEN[key])
 
 
 def asked(spark, d):

@@ -177,7 +177,8 @@ def build_index(tables: dict[str, DataFrame], vocabulary: dict[str, tuple[str, .
     tokens_ = evidence_tokens(pieces.join(found, "object_id", "inner"), phrases)
     is_place = (F.col("evidence_kind") == "derived_metadata") | (
         (F.col("evidence_kind") == "semantic_result") & (F.col("semantic_type") == "detected_places"))
-    index = tokens_.withColumn("is_place", F.coalesce(is_place, F.lit(False)))
+    # Written before it is laid out: finding the ranges reads these rows, not the texts again.
+    index = materialise(tokens_.withColumn("is_place", F.coalesce(is_place, F.lit(False))), "evidence-tokens")
     return index.repartitionByRange("token", "object_id").sortWithinPartitions("token")
 
 

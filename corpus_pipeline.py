@@ -76,10 +76,11 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes passages of 50 words or more out of texts that a smaller doc_id has too.
 
-    Texts that lose nothing stay as they are, with their white space.
+    Texts that lose nothing stay as they are, with their white space; null stays null. Of
+    others the remaining words are joined by one space.
     """
     configure(spark)
-    out = remove_repeated_passages(_as_records(_kept_columns(docs)))
+    out = remove_repeated_passages(_as_records(_kept_columns(docs)), as_is=True)
     return _as_documents(out, "kept_text")
 
 

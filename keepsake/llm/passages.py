@@ -112,37 +112,42 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["window_a", "window_b", "object_id", "place"])
 
 
-def _kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _keeper(as_is: bool):
     """Texts without the words of their spans (first window start, last window start)."""
-    for batch in batches:
-        n_words, n_removed, kept = [], [], []
-        for text, spans in zip(batch.column("result_text").to_pylist(), batch.column("spans").to_pylist()):
-            words = (text or "").encode("utf-8", "surrogatepass").split()
-            gone = 0
-            if spans:
-                change = np.zeros(len(words) + 1, np.int32)
-                np.add.at(change, [s["first"] for s in spans], 1)
-                np.add.at(change, [min(s["last"], len(words) - WINDOW) + WINDOW for s in spans], -1)
-                removed = np.cumsum(change)[:-1] > 0
-                gone = int(removed.sum())
-                words = [words[i] for i in np.flatnonzero(~removed)]
-            n_words.append(len(words) + gone)
-            n_removed.append(gone)
-            kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("object_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
-            ["object_id", "n_words", "n_removed", "kept_text"])
-
-
-def remove_repeated_passages(results: DataFrame) -> DataFrame:
+
+    def kept_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_words, n_removed, kept = [], [], []
+            for text, spans in zip(batch.column("result_text").to_pylist(), batch.column("spans").to_pylist()):
+                words = (text or "").encode("utf-8", "surrogatepass").split()
+                gone = 0
+                if spans:
+                    change = np.zeros(len(words) + 1, np.int32)
+                    np.add.at(change, [s["first"] for s in spans], 1)
+                    np.add.at(change, [min(s["last"], len(words) - WINDOW) + WINDOW for s in spans], -1)
+                    removed = np.cumsum(change)[:-1] > 0
+                    gone = int(removed.sum())
+                    words = [words[i] for i in np.flatnonzero(~removed)]
+                n_words.append(len(words) + gone)
+                n_removed.append(gone)
+                kept.append(text if as_is and not gone else b" ".join(words).decode("utf-8", "surrogatepass"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("object_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())],
+                ["object_id", "n_words", "n_removed", "kept_text"])
+
+    return kept_texts
+
+
+def remove_repeated_passages(results: DataFrame, as_is: bool = False) -> DataFrame:
     """Remove passages of 50 words or more that a text of a smaller object_id has too.
 
     Reads ``object_id, result_text`` of semantic results. A word goes if some window of 50
     consecutive words covers it whose word sequence also starts in a text with a smaller
     object_id; windows are judged on the input. Returns per input row: object_id, n_words,
-    n_removed, ``kept_text`` (remaining words joined by one space).
+    n_removed, ``kept_text`` (remaining words joined by one space; ``as_is``: a text that
+    loses nothing is its own kept text, white space and null included).
 
-    Null and empty texts have no words and empty kept text. Texts under 50 words are never
+    Null and empty texts have no words and, unless ``as_is``, empty kept text. Texts under 50 words are never
     touched. Rows with one object_id do not remove from each other: identical ones get the
     same result, different texts are judged apart. Rows without object_id stand outside
     the order, remove nothing and lose nothing. An empty table gives no rows. Other columns
@@ -195,4 +200,4 @@ def remove_repeated_passages(results: DataFrame) -> DataFrame:
     spans = scratch.write(spans, "spans")
     scratch.drop(judged, offered)
     marked = texts.join(spans, ["object_id", "tag"], "left").select("object_id", "result_text", "spans")
-    return marked.mapInArrow(_kept, T.StructType([id_field, long("n_words"), long("n_removed"), T.StructField("kept_text", T.StringType())]))
+    return marked.mapInArrow(_keeper(as_is), T.StructType([id_field, long("n_words"), long("n_removed"), T.StructField("kept_text", T.StringType())]))

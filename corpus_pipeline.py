@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keepsake import configure
-from keepsake.llm.common import Scratch
+from keepsake.llm.common import SPACES, Scratch
 from keepsake.llm.languages import UNKNOWN, identify_languages
 from keepsake.llm.lines import remove_similar_lines
 from keepsake.llm.near import near_duplicates
@@ -61,16 +61,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document with the smallest doc_id stays.
+    """Of each group of near-duplicates one row stays, that of the smallest doc_id.
 
-    Rows that repeat a document are one group; a row without doc_id stays if no other of its
-    group has one.
+    A row without doc_id stays only if no other of its group has one. Of rows that share the
+    doc_id the first by hash of the text and by the other columns stays, of equal rows one.
+    Blank and null texts are no group; all of them stay.
     """
     configure(spark)
-    docs = _kept_columns(docs)
-    judged = near_duplicates(as_results(docs)).filter(F.col("object_id").eqNullSafe(F.col("class_id"))).select("object_id").distinct()
-    same = docs.doc_id.eqNullSafe(judged.object_id)
-    return docs.join(judged, same, "left_semi")
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.md5("text").alias("text_key"), "lang", "source", "n_chars")
+    docs = _kept_columns(docs).withColumn("row", row)
+    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) == ""
+    filled = docs.filter(~blank)
+    judged = near_duplicates(filled.select(F.col("row").alias("object_id"), F.col("text").alias("result_text")))
+    first = judged.filter(F.col("object_id") == F.col("class_id")).select(F.col("object_id").alias("row"))
+    # Equal rows are folded before they meet, so that many of them are one.
+    kept = filled.dropDuplicates(["row"]).join(first, "row", "left_semi")
+    return _kept_columns(kept.unionByName(docs.filter(blank)))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,3 +23,24 @@ def test_passages_leave_other_texts_as_they_are(spark):
     docs = spark.createDataFrame([*whole, (2, f"two\n\nmore {passage}\ttail", "en", "s", 0)], SCHEMA)
     out = rows(pipeline.substring_dedup(spark, docs, SF))
     assert out == Counter([*whole, (2, "two more tail", "en", "s", 13)])
+
+
+def test_near_copies_leave_one_row_each(spark):
+    word = lambda k: [f"{k}x{i}" for i in range(60)]
+    text = lambda k, end="": " ".join([*word(k), *end.split()])
+    row = lambda doc_id, text, lang="en", source="s": (doc_id, text, lang, source, len(text))
+    groups = [
+        [row(1, text("a"))] * 3,  # equal rows
+        [row(2, text("b")), row(2, text("b", "near")), row(9, text("b"))],  # a near copy of the same doc_id
+        [row(3, text("c"), None, "s"), row(3, text("c"), "s", None), row(3, text("c"), None, None)],
+        [row(None, text("d"))],  # without id, a group of its own
+        [row(None, text("e")), row(4, text("e")), row(None, text("e", "near"))],
+        [row(None, text("f"))] * 2 + [row(None, text("f", "near"))],
+        [row(5, text("g"))], [row(5, text("h"))],  # one doc_id, different texts
+    ]
+    docs = spark.createDataFrame([r for group in groups for r in group], SCHEMA)
+    out = rows(pipeline.jaccard_join(spark, docs, SF))
+    kept = [[r for r in set(group) for _ in range(out[r])] for group in groups]
+    assert [len(k) for k in kept] == [1] * len(groups), kept
+    assert sum(out.values()) == len(groups)
+    assert [k[0][0] for k in kept] == [1, 2, 3, None, 4, None, 5, 5]

@@ -55,7 +55,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes lines out of texts that an earlier line resembles; every document stays."""
+    """Takes lines out of texts that an earlier line resembles; every document stays.
+
+    One that has no words left is let go by jaccard_join.
+    """
     configure(spark)
     return _as_documents(remove_similar_lines(_as_records(_kept_columns(docs))), "kept_text")
 
@@ -65,18 +68,17 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     A row without doc_id stays only if no other of its group has one. Of rows that share the
     doc_id the first by hash of the text and by the other columns stays, of equal rows one.
-    Blank and null texts are no group; all of them stay.
+    Documents without words go: language_id passes none, so theirs were lines that earlier
+    documents hold, and line_dedup took them all.
     """
     configure(spark)
     row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", F.md5("text").alias("text_key"), "lang", "source", "n_chars")
     docs = _kept_columns(docs).withColumn("row", row)
-    blank = F.btrim(F.coalesce("text", F.lit("")), F.lit(SPACES)) == ""
-    filled = docs.filter(~blank)
+    filled = docs.filter(F.btrim("text", F.lit(SPACES)) != "")
     judged = near_duplicates(filled.select(F.col("row").alias("object_id"), F.col("text").alias("result_text")))
     first = judged.filter(F.col("object_id") == F.col("class_id")).select(F.col("object_id").alias("row"))
     # Equal rows are folded before they meet, so that many of them are one.
-    kept = filled.dropDuplicates(["row"]).join(first, "row", "left_semi")
-    return _kept_columns(kept.unionByName(docs.filter(blank)))
+    return _kept_columns(filled.dropDuplicates(["row"]).join(first, "row", "left_semi"))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,3 +44,17 @@ def test_near_copies_leave_one_row_each(spark):
     assert [len(k) for k in kept] == [1] * len(groups), kept
     assert sum(out.values()) == len(groups)
     assert [k[0][0] for k in kept] == [1, 2, 3, None, 4, None, 5, 5]
+
+
+def test_copies_end_as_one_document(spark, tmp_path):
+    lines = ["the quick brown fox jumps over the lazy dog", "", "and the old house stood at the end of the road"]
+    copies = [(k, "\n".join(lines), None, "s", 0) for k in range(2, 8)]
+    parts = [(8, f"{lines[2]}\n\n{lines[0]}", None, "s", 0), (9, "\n".join([lines[0], "nobody has seen this line before today"]), None, "s", 0)]
+    table = spark.createDataFrame([*copies, *parts], SCHEMA)
+    for name, stage in pipeline.STAGES[1:3]:
+        stage(spark, table, SF).write.parquet(str(tmp_path / name))
+        table = spark.read.parquet(str(tmp_path / name))
+    packed = pipeline.STAGES[-1][1](spark, table, SF).collect()
+    assert sorted(r.doc_id for r in packed) == [2, 9]
+    assert all(r.length > 1 for r in packed)
+    assert {r[0]: r[1] for r in table.select("doc_id", "text").collect()} == {2: "\n".join(lines), 9: "nobody has seen this line before today"}

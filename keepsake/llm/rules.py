@@ -106,7 +106,8 @@ def order_rules(results: DataFrame, rules: tuple[QualityRule, ...] = DEFAULT_RUL
     """Rules by rejected rows per second on a sample of about ``sample_rows`` rows.
 
     Each rule is timed alone over the measured sample. The order changes what a verdict
-    costs, not the verdict, so neither the sample nor the clock can change a result.
+    costs, not which texts are kept. It does change which of several rejecting rules is
+    met first: ``rejected_by`` of ``apply_quality_rules`` hangs on the sample and the clock.
     """
     total = results.count()
     share = min(1.0, sample_rows / max(total, 1))
@@ -130,7 +131,9 @@ def apply_quality_rules(results: DataFrame, rules: tuple[QualityRule, ...] = DEF
     Reads ``object_id, result_text`` of ``results`` and returns one row per input row:
     object_id, the measures of ``quality_measures``, ``base_failed`` (under 10 words, or
     more than a fifth of the words inside repeated windows), ``kept`` and ``rejected_by``
-    (``base``, the first rule of the cascade that rejects, or null).
+    (``base``, the first rule of the cascade that rejects, or null). The cascade has the order
+    that ``order_rules`` finds, so where several rules reject a text, the one named can
+    differ between runs.
 
     Null and empty texts have zero words and fail the base. Repeated rows are judged each
     for itself; a null object_id is carried through; an empty table gives no rows; other

@@ -68,12 +68,18 @@ def _list_bounds(body: str, at: int, decoder: json.JSONDecoder) -> tuple[list[tu
     return bounds, at + 1
 
 
+def _no_constant(name: str) -> None:
+    """NaN and infinities are no JSON, though Python's parser takes them."""
+    raise ValueError(name)
+
+
 def conversation_bounds(body: str) -> list[tuple[int, int]] | None:
     """Where the conversations of a document begin and end; None if it is no export.
 
-    One conversation is decoded at a time, so memory follows the largest of them.
+    One conversation is decoded at a time, so memory follows the largest of them. What
+    follows the end is not looked at, as in ``try_parse_json``.
     """
-    decoder = json.JSONDecoder()
+    decoder = json.JSONDecoder(parse_constant=_no_constant)
     found = None
     try:
         at = BLANK.match(body).end()

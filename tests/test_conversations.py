@@ -194,3 +194,13 @@ def test_unreadable_documents_are_diagnosed(spark):
     batch = plan.read_import(documents(spark, {"chats": []}, export()), strict=False)
     assert [(r["code"], r["source_id"]) for r in batch.diagnostics.collect()] == [("document_unreadable", "file:///0.json")]
     assert batch.objects.count() == 6
+
+
+def test_malformed_documents_are_read_alike_at_any_size(spark):
+    good = '{"id": "a", "mapping": {}}'
+    bad = [f'[{good}, {{"id": "b", "create_time": NaN}}]', f'{{"x": -Infinity, "conversations": [{good}]}}']
+    ended = [f"[{good}] x", f'{{"conversations": [{good}]}} []']
+    docs = spark.createDataFrame([(k, f"file:///{k}", body) for k, body in enumerate(bad + ended)], "doc_id bigint, raw_uri string, body string")
+    for limit in (1, 20_000_000):
+        found = sorted((r["doc_id"], r["mapping_state"]) for r in scan_conversations(docs, strict=False, whole_bytes=limit).collect())
+        assert found == [(0, "unreadable"), (1, "unreadable"), (2, "object"), (3, "object")], limit

@@ -153,3 +153,40 @@ def op9_embedding_near_dedup(spark, d):
     out = near_vectors(table(spark, d, "embeddings").select(F.col("vec_id").alias("object_id"), "embedding"))
     return out.select(
         F.col("object_id").alias("vec_id"), "n_links", "component_id", F.col("object_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+FIM_SQL = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256('42:' || CAST(doc_id AS VARCHAR)) AS h,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS tokens
+  FROM documents),
+drawn AS (
+  SELECT doc_id, t, tokens, len(tokens) AS n,
+         CAST('0x' || substr(h, 1, 8) AS UBIGINT) % (len(tokens) + 1) AS c1, CAST('0x' || substr(h, 9, 8) AS UBIGINT) % (len(tokens) + 1) AS c2,
+         CAST('0x' || substr(h, 17, 8) AS UBIGINT) % 100 AS d3, CAST('0x' || substr(h, 25, 8) AS UBIGINT) % 100 AS d4
+  FROM cut),
+parts AS (
+  SELECT doc_id, t, n,
+         CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR d3 >= 50 THEN 'plain'
+              WHEN d4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(tokens[1 : least(c1, c2)], '') AS prefix,
+         array_to_string(tokens[least(c1, c2) + 1 : greatest(c1, c2)], '') AS middle,
+         array_to_string(tokens[greatest(c1, c2) + 1 : n], '') AS suffix
+  FROM drawn)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form,
+       CASE WHEN form <> 'plain' THEN CAST(length(prefix) AS BIGINT) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN CAST(length(middle) AS BIGINT) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(t) AS restored_sha256
+FROM parts
+"""
+
+
+@query("op13_fill_in_middle", FIM_SQL)
+def op13_fill_in_middle(spark, d):
+    from .fim import fill_in_middle, restore_texts
+
+    out = restore_texts(fill_in_middle(results_of(spark, d)))
+    return out.select(
+        doc_id(), F.col("n_tokens").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", F.col("text_sha256").alias("restored_sha256"))

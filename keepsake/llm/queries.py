@@ -190,3 +190,47 @@ def op13_fill_in_middle(spark, d):
     out = restore_texts(fill_in_middle(results_of(spark, d)))
     return out.select(
         doc_id(), F.col("n_tokens").alias("n"), "form", "prefix_chars", "middle_chars", "output_sha256", F.col("text_sha256").alias("restored_sha256"))
+
+
+COLLOCATION_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+cut AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces),
+f1 AS (SELECT lang, phrase, count(*) AS c FROM (SELECT lang, unnest(w) AS phrase FROM cut) GROUP BY ALL),
+f2 AS (SELECT lang, p.a || ' ' || p.b AS phrase, p.a AS w1, p.b AS w2, count(*) AS c
+       FROM (SELECT lang, unnest(list_transform(range(1, len(w)), lambda i: {'a': w[i], 'b': w[i + 1]})) AS p FROM cut) GROUP BY ALL),
+f3 AS (SELECT lang, p.a || ' ' || p.b || ' ' || p.c AS phrase, p.a AS w1, p.b AS w2, p.c AS w3, count(*) AS c
+       FROM (SELECT lang, unnest(list_transform(range(1, len(w) - 1), lambda i: {'a': w[i], 'b': w[i + 1], 'c': w[i + 2]})) AS p FROM cut) GROUP BY ALL),
+totals AS (SELECT lang, sum(c) AS n FROM f1 GROUP BY lang),
+cuts AS (
+  SELECT f2.lang, f2.phrase, 1 AS k, f2.c AS a, x.c AS l, y.c AS r
+  FROM f2 JOIN f1 x ON x.lang = f2.lang AND x.phrase = w1 JOIN f1 y ON y.lang = f2.lang AND y.phrase = w2 WHERE f2.c >= 10
+  UNION ALL
+  SELECT f3.lang, f3.phrase, 1, f3.c, x.c, y.c
+  FROM f3 JOIN f1 x ON x.lang = f3.lang AND x.phrase = w1 JOIN f2 y ON y.lang = f3.lang AND y.phrase = f3.w2 || ' ' || w3 WHERE f3.c >= 10
+  UNION ALL
+  SELECT f3.lang, f3.phrase, 2, f3.c, x.c, y.c
+  FROM f3 JOIN f2 x ON x.lang = f3.lang AND x.phrase = f3.w1 || ' ' || f3.w2 JOIN f1 y ON y.lang = f3.lang AND y.phrase = w3 WHERE f3.c >= 10),
+scored AS (
+  SELECT *, (CAST(1000000 AS HUGEINT) * a * a) // (CAST(l AS HUGEINT) * r) AS score FROM cuts
+  QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+covered AS (
+  SELECT lang, phrase, max(c) AS c FROM (
+    SELECT lang, w1 || ' ' || w2 AS phrase, c FROM f3 WHERE c >= 10 UNION ALL SELECT lang, w2 || ' ' || w3, c FROM f3 WHERE c >= 10)
+  GROUP BY ALL)
+SELECT s.lang, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, encode(s.phrase)) AS rank, s.phrase,
+       a, l, r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM scored s JOIN totals USING (lang) LEFT JOIN covered c ON c.lang = s.lang AND c.phrase = s.phrase
+WHERE c.c IS NULL OR 100 * c.c < 50 * a
+QUALIFY rank <= 2000
+"""
+
+
+@query("op11_collocations", COLLOCATION_SQL)
+def op11_collocations(spark, d):
+    from .collocations import mine_collocations
+
+    found = mine_collocations(table(spark, d, "documents").select(F.col("text").alias("result_text"), F.col("lang").alias("language")))
+    return found.withColumnRenamed("language", "lang")

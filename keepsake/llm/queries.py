@@ -234,3 +234,11 @@ def op11_collocations(spark, d):
 
     found = mine_collocations(table(spark, d, "documents").select(F.col("text").alias("result_text"), F.col("lang").alias("language")))
     return found.withColumnRenamed("language", "lang")
+
+
+@query("op12_suffix_array_dedup")
+def op12_suffix_array_dedup(spark, d):
+    from .suffixes import remove_repeated_strings
+
+    out = remove_repeated_strings(results_of(spark, d))
+    return out.select(doc_id(), "n_bytes", "n_removed", "n_spans", F.sha2("kept_bytes", 256).alias("kept_sha256"))

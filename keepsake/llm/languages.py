@@ -20,14 +20,17 @@ from .common import result_texts
 from .words import mix
 
 UNKNOWN = "und"
-# Rows a model is learned from, at most about; the bound is a parameter of ``learn_languages``.
-TRAIN_ROWS = 20_000
+# Rows a model is learned from, at most about, and rows of each language at least, if it has
+# them; both are parameters of ``learn_languages``.
+TRAIN_ROWS, LANGUAGE_ROWS = 20_000, 500
 BUCKETS = 1 << 16
 # Nats a change of language costs: about three words of evidence.
 SWITCH = 12.0
 # A language may be written in a script that holds at least this share of its letters.
 SCRIPT_SHARE = 0.01
 CHUNK_CHARS = 1 << 19
+# Numbers of languages within texts.
+LABEL = np.int32
 
 # First and last code point of the scripts told apart (block borders of Unicode).
 SCRIPTS = {
@@ -63,12 +66,12 @@ def _script_table() -> np.ndarray:
     return table
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about ``CHUNK_CHARS`` characters."""
+def _chunks(texts: list[str | None], languages: int = 1) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about ``CHUNK_CHARS`` characters; fewer for more than 16 languages."""
     start, size = 0, 0
     for i, text in enumerate(texts):
         size += len(text or "")
-        if size >= CHUNK_CHARS:
+        if size * max(languages, 16) >= CHUNK_CHARS * 16:
             yield start, i + 1
             start, size = i + 1, 0
     if start < len(texts):
@@ -103,17 +106,20 @@ class Letters:
         return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
 
 
-def learn_languages(results: DataFrame, max_rows: int = TRAIN_ROWS) -> LanguageModel:
+def learn_languages(results: DataFrame, max_rows: int = TRAIN_ROWS, language_rows: int = LANGUAGE_ROWS) -> LanguageModel:
     """Trigram and script statistics of every language in ``object_id, result_text, language``.
 
     Rows without text or language teach nothing. Of more than ``max_rows`` rows a random
-    share of about that many is taken; what reaches the driver is one count per language
-    and bucket, whatever the number of rows.
+    share of about that many is taken, but of each language about ``language_rows`` at least,
+    or all it has; so a rare language is learned at any size. What reaches the driver is one
+    count per language, and one per language and bucket, whatever the number of rows.
     """
     rows = results.select(F.col("result_text").cast("string").alias("result_text"), F.col("language").cast("string").alias("language"))
     rows = rows.filter("result_text IS NOT NULL AND language IS NOT NULL")
-    share = min(1.0, max_rows / max(rows.count(), 1))
-    rows = rows.sample(share, seed=1) if share < 1 else rows
+    sizes = {r["language"]: r["count"] for r in rows.groupBy("language").count().collect()}
+    share = max_rows / max(sum(sizes.values()), 1)
+    if share < 1:
+        rows = rows.sampleBy("language", {name: min(1.0, max(share, language_rows / n)) for name, n in sizes.items()}, seed=1)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         letter, script = _letter_table(), _script_table()
@@ -148,7 +154,7 @@ def _viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float)
     starts = np.cumsum(n_words) - n_words
     order = np.argsort(-n_words, kind="stable")
     sorted_counts = n_words[order]
-    labels = scores.argmax(axis=1).astype(np.int8)
+    labels = scores.argmax(axis=1).astype(LABEL)
     # Where every word says the same, nothing can be better.
     steps = int(sorted_counts[0]) if n_texts else 0
     if not steps or scores.shape[1] < 2:
@@ -156,8 +162,8 @@ def _viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float)
     active = np.searchsorted(-sorted_counts, -np.arange(1, steps + 1), side="right")
     base = starts[order]
     best = scores[base[: active[0]]].copy()
-    origin = np.empty(scores.shape, np.int8)
-    keep = np.arange(scores.shape[1], dtype=np.int8)
+    origin = np.empty(scores.shape, LABEL)
+    keep = np.arange(scores.shape[1], dtype=LABEL)
     for t in range(1, steps):
         k = active[t]
         state = best[:k]
@@ -165,9 +171,9 @@ def _viterbi(scores: np.ndarray, text: np.ndarray, n_texts: int, penalty: float)
         changed = state[np.arange(k), top] - penalty
         moved = changed[:, None] > state
         at = base[:k] + t
-        origin[at] = np.where(moved, top[:, None].astype(np.int8), keep)
+        origin[at] = np.where(moved, top[:, None].astype(LABEL), keep)
         best[:k] = np.where(moved, changed[:, None], state) + scores[at]
-    last = best.argmax(axis=1).astype(np.int8)
+    last = best.argmax(axis=1).astype(LABEL)
     for t in range(steps - 1, -1, -1):
         k = active[t]
         at = base[:k] + t
@@ -200,7 +206,7 @@ def identify_languages(results: DataFrame, model: LanguageModel, penalty: float
         names = np.array([*model.languages, UNKNOWN], object)
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in _chunks(texts):
+            for a, b in _chunks(texts, count):
                 part, n = Letters(texts[a:b], letter, script), b - a
                 best, share = np.full(n, count), np.zeros(n)
                 span_text = span_start = span_end = span_label = np.zeros(0, np.int64)

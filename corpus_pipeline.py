@@ -43,6 +43,12 @@ def _as_documents(records: DataFrame, text: str) -> DataFrame:
     return records.select("object_id.doc_id", F.col(text).alias("text"), "object_id.lang", "object_id.source", F.length(text).cast("long").alias("n_chars"))
 
 
+def _apart(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Documents with doc_id, and those without, which stand outside the order of documents."""
+    docs = _kept_columns(docs)
+    return docs.filter("doc_id IS NOT NULL"), docs.filter("doc_id IS NULL")
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sets ``lang`` to the language found. Documents without one, or with none that holds
     ``LEAST_SHARE`` of the letters, go."""
@@ -57,10 +63,12 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes lines out of texts that an earlier line resembles; every document stays.
 
-    One that has no words left is let go by jaccard_join.
+    Rows without doc_id take nothing from others and lose nothing. A document that has no
+    words left is let go by jaccard_join.
     """
     configure(spark)
-    return _as_documents(remove_similar_lines(_as_records(_kept_columns(docs))), "kept_text")
+    known, others = _apart(docs)
+    return _as_documents(remove_similar_lines(_as_records(known)), "kept_text").unionByName(others)
 
 
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -85,11 +93,12 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Takes passages of 50 words or more out of texts that a smaller doc_id has too.
 
     Texts that lose nothing stay as they are, with their white space; null stays null. Of
-    others the remaining words are joined by one space.
+    others the remaining words are joined by one space. Rows without doc_id take nothing from
+    others and lose nothing.
     """
     configure(spark)
-    out = remove_repeated_passages(_as_records(_kept_columns(docs)), as_is=True)
-    return _as_documents(out, "kept_text")
+    known, others = _apart(docs)
+    return _as_documents(remove_repeated_passages(_as_records(known), as_is=True), "kept_text").unionByName(others)
 
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,3 +58,12 @@ def test_copies_end_as_one_document(spark, tmp_path):
     assert sorted(r.doc_id for r in packed) == [2, 9]
     assert all(r.length > 1 for r in packed)
     assert {r[0]: r[1] for r in table.select("doc_id", "text").collect()} == {2: "\n".join(lines), 9: "nobody has seen this line before today"}
+
+
+def test_rows_without_id_take_nothing_from_others(spark):
+    passage = " ".join(f"w{i}" for i in range(60))
+    line = "a line of some words that two rows hold"
+    given = [(None, passage, "en", "s", len(passage)), (2, passage, "en", "s", len(passage)), (None, f"{line}\n{line}", "en", "s", 79), (3, line, "en", "s", len(line))]
+    docs = spark.createDataFrame(given, SCHEMA)
+    assert rows(pipeline.substring_dedup(spark, docs, SF)) == Counter(given)
+    assert rows(pipeline.line_dedup(spark, docs, SF)) == Counter(given)

@@ -4,43 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.admission import replay
+from ..operators.admission import Replay
 
+# Principals are dealt to this many rows of state.
+BUCKETS = 4096
 
-def admit_stream(requests: DataFrame, limit: int, window_seconds: float, late: str = "1 minute") -> DataFrame:
-    """Decide requests (``request_id, principal, ts``) as they come; state is ``limit`` times.
 
-    Requests of one micro-batch are taken in time order; the state of a principal goes
-    when the watermark has passed its window.
+def admit_stream(requests: DataFrame, limit: int, window_seconds: float, late: str = "1 minute", buckets: int = BUCKETS) -> DataFrame:
+    """Decide requests (``request_id, principal, ts``) as they come; state is ``limit`` times a principal.
+
+    Every request gets one row. Those of one micro-batch are taken in time order, ids
+    deciding among equal times. A request behind the watermark (``late`` before the newest
+    one of earlier micro-batches) is not admitted, changes nothing and says ``late``.
+
+    Spark drops rows behind the watermark where event time ends state, so here nothing
+    times out: principals share rows of state, and whenever one is touched, principals whose
+    window the watermark has passed leave it. A task holds ids and times of the requests of one
+    bucket in the micro-batch, whose size the source's rate limit sets.
     """
     window = int(window_seconds * 1_000_000)
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        watermark = state.getCurrentWatermarkMs() * 1000
+        held = dict(zip(*state.get)) if state.exists else {}
+        batch = pd.concat([frame[["request_id", "principal", "ts"]] for frame in frames], ignore_index=True)
+        batch["stamp"] = batch["ts"].astype("datetime64[us]").astype("int64")
+        batch = batch.sort_values(["stamp", "request_id"])
+        batch["late"] = batch["stamp"] < watermark
+        batch["admitted"] = False
+        for principal, own in batch[~batch["late"]].groupby("principal", dropna=False, sort=False):
+            name = None if pd.isna(principal) else principal
+            player = Replay(limit, window, list(held.get(name, ())))
+            # Requests of one time pass one by one, so that ids decide.
+            places, _ = player.feed(own["stamp"].to_numpy(), np.ones(len(own), np.int64))
+            batch.loc[own.index[places], "admitted"] = True
+            held[name] = list(player.times)
+        held = {name: times for name, times in held.items() if len(times) and times[-1] + window > watermark}
+        if held:
+            state.update((list(held), [list(times) for times in held.values()]))
+        elif state.exists:
             state.remove()
-            return
-        times = list(state.get[0]) if state.exists else []
-        # The rows of one micro-batch only; its size is set by the source's rate limit.
-        batch = pd.concat(list(frames)).sort_values(["ts", "request_id"])
-        stamps = (batch["ts"].astype("datetime64[us]").astype("int64")).tolist()
-        passed, times = replay(stamps, [1] * len(stamps), times, limit, window)
-        state.update((times,))
-        if times:
-            expiry = (times[-1] + window) // 1000 + 1
-            state.setTimeoutTimestamp(max(expiry, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({
-            "request_id": batch["request_id"].tolist(), "principal": [key[0]] * len(batch),
-            "ts": batch["ts"].tolist(), "admitted": [count > 0 for count in passed],
-        })
+        yield batch[["request_id", "principal", "ts", "admitted", "late"]]
 
     kinds = dict(requests.dtypes)
-    schema = f"request_id {kinds['request_id']}, principal {kinds['principal']}, ts timestamp, admitted boolean"
+    schema = f"request_id {kinds['request_id']}, principal string, ts timestamp, admitted boolean, late boolean"
     return (
-        requests.select("request_id", "principal", "ts").withWatermark("ts", late)
-        .groupBy("principal")
-        .applyInPandasWithState(decide, schema, "times array<bigint>", "append", GroupStateTimeout.EventTimeTimeout)
+        requests.select("request_id", F.col("principal").cast("string").alias("principal"), "ts")
+        .withColumn("bucket", F.pmod(F.xxhash64("principal"), F.lit(buckets))).withWatermark("ts", late)
+        .groupBy("bucket")
+        .applyInPandasWithState(decide, schema, "principals array<string>, times array<array<bigint>>", "append", GroupStateTimeout.NoTimeout)
     )

@@ -4,8 +4,10 @@ import os
 import random
 from collections import defaultdict, deque
 
+import pytest
 from pyspark.sql import functions as F
 
+from keepsake.operators import admission
 from keepsake.operators.admission import replay_admission
 from keepsake.streaming import ingest as stream
 from keepsake.streaming.admission import admit_stream
@@ -33,6 +35,51 @@ def test_saturated_principal_in_many_chunks(spark):
     assert {r["request_id"]: r["admitted"] for r in got.collect()} == by_rule(rows, 3, 45 * second)
 
 
+@pytest.mark.parametrize("gap", [7, 0])
+def test_rounds_are_bounded_for_a_saturated_principal(spark, monkeypatch, gap):
+    """Twenty chunks and more, all saturated: random gaps fade, regular ones keep their phase."""
+    rng = random.Random(9)
+    rounds = []
+    played = admission._played
+    monkeypatch.setattr(admission, "_played", lambda rows, limit, window, walk=False: rounds.append(walk) or played(rows, limit, window, walk))
+    second = 1_000_000
+    # A burst first, so that the phase of the admitted times differs from that of an empty start.
+    stamps = [0, 0, 3 * second] + [5 * second + i * 10 * second + (rng.randrange(gap) * second if gap else 0) for i in range(900)]
+    rows = [(i, "hot", stamp) for i, stamp in enumerate(stamps)] + [(5000 + i, f"p{i % 5}", i * second) for i in range(50)]
+    df = spark.createDataFrame(rows, "request_id bigint, principal string, stamp bigint").repartition(3)
+    got = replay_admission(df, 3, 45, chunk_stamps=40)
+    assert {r["request_id"]: r["admitted"] for r in got.collect()} == by_rule(rows, 3, 45 * second)
+    assert len(rounds) - 1 <= 3  # one pass more for the cold principals
+
+
+def test_equal_stamps_null_principals_and_no_rows(spark):
+    rows = [(i, "a" if i % 2 else None, (i // 8) * 1_000_000) for i in range(64)]
+    df = spark.createDataFrame(rows, "request_id bigint, principal string, stamp bigint")
+    got = {r["request_id"]: r["admitted"] for r in replay_admission(df, 3, 2, chunk_stamps=5).collect()}
+    assert {k: v for k, v in got.items() if k % 2} == by_rule([r for r in rows if r[1]], 3, 2_000_000)
+    assert replay_admission(df.limit(0), 3, 2).collect() == []
+    assert not any(r["admitted"] for r in replay_admission(df, 0, 2).collect())
+
+
+def test_skipping_replay_equals_the_rule():
+    rng = random.Random(2)
+    for _ in range(200):
+        limit, window = rng.randrange(1, 5), rng.randrange(1, 40)
+        stamps = sorted(rng.sample(range(300), rng.randrange(1, 120)))
+        counts = [rng.randrange(1, 4) for _ in stamps]
+        state = sorted(rng.randrange(-30, 0) for _ in range(rng.randrange(limit + 1)))
+        admitted, expected = deque(state), []
+        for stamp, count in zip(stamps, counts):
+            while admitted and admitted[0] <= stamp - window:
+                admitted.popleft()
+            free = min(count, limit - len(admitted))
+            admitted.extend([stamp] * free)
+            expected.append(free)
+        got, after = admission.replay(stamps, counts, state, limit, window)
+        alive = lambda times: [t for t in times if t > stamps[-1] - window]
+        assert got == expected and alive(after) == alive(admitted)
+
+
 def test_limit_one_rejects_the_second(spark):
     df = spark.createDataFrame([(1, "a", 0), (2, "a", 0), (3, "a", 60_000_000)], "request_id bigint, principal string, stamp bigint")
     assert {r["request_id"]: r["admitted"] for r in replay_admission(df, 1, 60).collect()} == {1: True, 2: False, 3: True}
@@ -57,6 +104,24 @@ def test_admission_stream(spark, tmp_path):
     assert got == by_rule([(i, p, s * 1_000_000) for i, p, s in rows], 2, 60_000_000)
 
 
+def test_late_requests_get_a_decision(spark, tmp_path):
+    source = tmp_path / "in"
+    start = 1_700_000_000
+    parts = [[(1, "a", 0), (2, "a", 500), (3, "b", 900)], [(4, "a", 100), (5, "a", 839), (6, "b", 841), (7, "c", 10), (8, "a", 905)]]
+    for part, rows in enumerate(parts):
+        before = set(source.glob("part-*"))
+        df = spark.createDataFrame([(i, p, start + s) for i, p, s in rows], "request_id bigint, principal string, s bigint")
+        df.select("request_id", "principal", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(str(source))
+        for path in set(source.glob("part-*")) - before:
+            os.utime(path, (start + part * 60, start + part * 60))
+    incoming = spark.readStream.schema("request_id bigint, principal string, ts timestamp").option("maxFilesPerTrigger", 1).parquet(str(source))
+    (admit_stream(incoming, 1, 400).writeStream.format("memory").queryName("with_late").outputMode("append")
+     .option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start().awaitTermination())
+    got = {r["request_id"]: (r["admitted"], r["late"]) for r in spark.table("with_late").collect()}
+    # The watermark of the second micro-batch stands at 840.
+    assert got == {1: (True, False), 2: (True, False), 3: (True, False), 4: (False, True), 5: (False, True), 6: (False, False), 7: (False, True), 8: (True, False)}
+
+
 def test_ingest_stream_equals_row_by_row_and_replays(spark, tmp_path):
     schema = ("ordinal bigint, object_type string, source string, source_id string, raw_uri string, content binary, "
               "occurred_at string, captured_at string, mime_type string, metadata_json string")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from keepsake import shared_dir
 from keepsake.operators.admission import replay_admission
 from keepsake.streaming import ingest as stream
+from keepsake.streaming.admission import admit_stream
 
 from .dialects import Spark, object_id
 from .fragments import DUCK
@@ -40,6 +41,15 @@ def stream_ingest(spark, d):
         "object_id", "source_id", "content_hash", "captured_at", "metadata_json", "version")
 
 
+def admitted_by_rule(events: str, limit: int, window: int) -> str:
+    """CTEs ending in ``r(event_id, admitted)``: the rule row by row over ``e(event_id, principal, ts)``."""
+    alive = f"list_filter(r.state, lambda x: x > e.s - {window}000000)"
+    return f"""e AS (SELECT event_id, principal, epoch_us(ts) AS s, row_number() OVER (PARTITION BY principal ORDER BY ts, event_id) AS rn FROM ({events})),
+r AS (SELECT principal, rn, event_id, [s] AS state, true AS admitted FROM e WHERE rn = 1
+UNION ALL SELECT e.principal, e.rn, e.event_id, CASE WHEN len({alive}) < {limit} THEN list_append({alive}, e.s) ELSE r.state END, len({alive}) < {limit}
+ FROM r JOIN e ON e.principal = r.principal AND e.rn = r.rn + 1)"""
+
+
 @query("admission_replay", f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 r AS (SELECT user_id, rn, event_id, [s] AS state, true AS admitted FROM e WHERE rn = 1
 UNION ALL SELECT e.user_id, e.rn, e.event_id, CASE WHEN len(list_filter(r.state, lambda x: x > e.s - {DAY}000000)) < {LIMIT} THEN list_append(list_filter(r.state, lambda x: x > e.s - {DAY}000000), e.s) ELSE r.state END,
@@ -47,3 +57,39 @@ UNION ALL SELECT e.user_id, e.rn, e.event_id, CASE WHEN len(list_filter(r.state,
 SELECT event_id AS request_id, admitted FROM r""")
 def admission_replay(spark, d):
     return replay_admission(load(spark, d, "v_audit").select("request_id", "principal", "stamp"), LIMIT, DAY).select("request_id", "admitted")
+
+
+# A third of all requests comes from one principal, far more than it may make.
+CROWD = "CASE WHEN user_id % 3 = 0 THEN 'crowd' ELSE CAST(user_id AS {text}) END"
+CROWD_LIMIT, CROWD_WINDOW, CROWD_CHUNK = 5, 3 * DAY, 150
+
+
+@query("admission_saturated", f"""WITH RECURSIVE {admitted_by_rule(f"SELECT event_id, {CROWD.format(text='VARCHAR')} AS principal, ts FROM events", CROWD_LIMIT, CROWD_WINDOW)}
+SELECT event_id AS request_id, admitted FROM r""")
+def admission_saturated(spark, d):
+    requests = load(spark, d, "events").select(
+        F.col("event_id").alias("request_id"), F.expr(CROWD.format(text="STRING")).alias("principal"), F.unix_micros(F.col("ts").cast("timestamp")).alias("stamp"))
+    return replay_admission(requests, CROWD_LIMIT, CROWD_WINDOW, CROWD_CHUNK).select("request_id", "admitted")
+
+
+# Events come in thirds of their time; every tenth comes last of all, whenever it was.
+ARRIVALS = """SELECT *, CASE WHEN event_id % 10 = 0 THEN 3 ELSE ntile(3) OVER (ORDER BY ts, event_id) END AS part FROM events"""
+
+
+@query("admission_stream", f"""WITH RECURSIVE arrived AS ({ARRIVALS}),
+mark AS (SELECT max(ts) - INTERVAL 1 MINUTE AS w FROM arrived WHERE part < 3),
+judged AS (SELECT event_id, user_id, ts, part = 3 AND epoch_ms(ts) < epoch_ms(w) AS late FROM arrived, mark),
+{admitted_by_rule("SELECT event_id, user_id AS principal, ts FROM judged WHERE NOT late", LIMIT, DAY)}
+SELECT event_id AS request_id, coalesce(admitted, false) AS admitted, late FROM judged LEFT JOIN r USING (event_id)""")
+def admission_stream(spark, d):
+    load(spark, d, "events").createOrReplaceTempView("arriving_events")
+    arrived = spark.sql(ARRIVALS.replace("FROM events", "FROM arriving_events"))
+    root = shared_dir(spark, "arrivals")
+    arrived.select("event_id", "user_id", F.col("ts").cast("timestamp").alias("ts"), "part").write.partitionBy("part").parquet(f"{root}/staged")
+    schema = "event_id bigint, user_id bigint, ts timestamp"
+    for part in (1, 2, 3):  # a micro-batch takes what has come since the one before
+        spark.read.schema(schema).parquet(f"{root}/staged/part={part}").write.mode("append").parquet(f"{root}/in")
+        incoming = spark.readStream.schema(schema).parquet(f"{root}/in").select(F.col("event_id").alias("request_id"), F.col("user_id").alias("principal"), "ts")
+        (admit_stream(incoming, LIMIT, DAY, buckets=64).writeStream.outputMode("append").option("checkpointLocation", f"{root}/checkpoint")
+         .trigger(availableNow=True).start(f"{root}/out").awaitTermination())
+    return spark.read.parquet(f"{root}/out").select("request_id", "admitted", "late")

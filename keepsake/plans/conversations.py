@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,9 +11,11 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import DEFAULT_IDS, IdSpace
 from ..functions.timegeo import unix_to_iso
-from ..operators.upsert import classify, insert_absent, merge_parent_edges
+from ..operators.hotkeys import latest
+from ..operators.upsert import append_versions, apply_outcomes, classify, insert_absent, merge_parent_edges, mirror_parents
 from ..session import materialise
 from ..sources.conversations import DOCS_PER_CHUNK, conversation_nodes, ordinal, scan_conversations, scan_lines
+from ..sources.snapshots import Snapshot, SnapshotLog
 
 # Sources and types of imported objects.
 CONVERSATION, NODE, MESSAGE = "chatgpt.conversation", "chatgpt.node", "chatgpt.message"
@@ -189,3 +193,66 @@ def import_stats(outcomes: DataFrame, edges: DataFrame, diagnostics: DataFrame)
         diagnostics.groupBy(F.lit("warning").alias("kind"), F.col("code").alias("outcome")).agg(F.count("*").alias("n")),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+MODEL = "keepsake-importer-1"
+
+
+def _merged_objects(stored: DataFrame, outcomes: DataFrame, parents: DataFrame) -> DataFrame:
+    """Objects after the import: nodes hang where they were last delivered, others where first."""
+    merged = apply_outcomes(stored, outcomes, [name for name in stored.columns if name in outcomes.columns])
+    before = stored.select("object_id", F.col("parent_id").alias("_old"), F.lit(True).alias("_stored"), *[
+        F.col(name).alias(f"_{name}") for name in ("event_id", "confidence")])
+    decided = latest(parents, ["child_id"], F.col("ordinal"), ["parent_id"]).select(
+        F.col("child_id").alias("object_id"), F.col("parent_id").alias("_new"), F.lit(True).alias("_node"))
+    joined = merged.join(before, "object_id", "left").join(decided, "object_id", "left")
+    parent = F.when(F.col("_node"), F.col("_new")).when(F.col("_stored"), F.col("_old")).otherwise(F.col("parent_id"))
+    return joined.withColumn("parent_id", parent).withColumn("event_id", F.col("_event_id")).withColumn("confidence", F.col("_confidence"))
+
+
+def _source_hash(objects: DataFrame) -> str:
+    """One hash of all conversations of an import, in any order, from the hashes they have."""
+    number = F.conv(F.substring("content_hash", 1, 15), 16, 10).cast("decimal(20,0)")
+    row = objects.filter(F.col("source") == CONVERSATION).agg(F.count("*").alias("n"), F.sum(number).alias("s")).first()
+    return hashlib.sha256(f"{row['n']}:{row['s']}".encode()).hexdigest()
+
+
+def import_conversations(documents: DataFrame, log: SnapshotLog, raw_uri: str, at: str, import_id: str,
+                         ids: IdSpace = DEFAULT_IDS, scoped_nodes: bool = True, strict: bool = True, lines: bool = False, **hot) -> Snapshot:
+    """Import an export into an archive: objects, versions, relations, diagnostics and run row, or nothing.
+
+    ``documents`` as ``read_exports`` gives them, ``at`` the time of the import. Stored rows
+    are read and rewritten only in the buckets of delivered keys. The same export twice
+    changes no table but the run log and the diagnostics. If another job commits in between,
+    ``CommitConflict`` is raised, the run is failed, and the archive is as that job left it.
+    """
+    batch = read_import(documents, ids, scoped_nodes, strict, lines)
+    row = {"import_id": import_id, "source": "chatgpt", "raw_uri": raw_uri, "source_hash": _source_hash(batch.objects), "started_at": at, "completed_at": at}
+    with log.run(row | {"completed_at": None}) as started:
+        base = log.current()
+        near = {"objects": log.touched("objects", batch.objects), "object_versions": log.touched("object_versions", batch.objects)}
+        ends = batch.edges.select("to_object_id").unionByName(batch.parents.select(F.col("child_id").alias("to_object_id")))
+        near["relations"] = log.touched("relations", ends)
+        stored = {name: log.read(name, base, buckets) for name, buckets in near.items()}
+
+        outcomes = materialise(
+            import_outcomes(batch, stored["objects"], **hot).withColumns({
+                "captured_at": F.lit(at), "created_at": F.lit(at), "mime_type": F.lit("application/json"),
+                "metadata_json": F.lit("{}"), "import_id": F.lit(import_id)}), "import-outcomes")
+        edges = materialise(edge_outcomes(batch, stored["relations"], ids), "import-edges")
+        stats = {f"{r['kind']}.{r['outcome']}": r["n"] for r in import_stats(outcomes, edges, batch.diagnostics).collect()}
+
+        staged = {"objects": _merged_objects(stored["objects"], outcomes, batch.parents)}
+        versions = stored["object_versions"].unionByName(append_versions(stored["object_versions"], outcomes, **{"chunk_span": DOCS_PER_CHUNK, **hot}), allowMissingColumns=True)
+        nodes = staged["objects"].filter(F.col("source") == NODE)
+        staged["object_versions"] = mirror_parents(versions.select(*stored["object_versions"].columns), nodes)
+        fresh = F.col("created_at").isNull()
+        staged["relations"] = next_relations(stored["relations"], edges).withColumns({
+            "confidence": F.when(fresh, 1.0).otherwise(F.col("confidence")), "model_id": F.when(fresh, MODEL).otherwise(F.col("model_id")),
+            "created_at": F.coalesce("created_at", F.lit(at))})
+        notes = batch.diagnostics.withColumns({"import_id": F.lit(import_id), "created_at": F.lit(at)})
+
+        replaced = {name: (near[name], log.stage(name, rows)) for name, rows in staged.items()}
+        appended = {"import_diagnostics": log.stage("import_diagnostics", notes)}
+        done = started | {"status": "complete", "completed_at": at, "stats_json": json.dumps(stats, sort_keys=True)}
+        return log.commit(base, replaced, appended, label=import_id, run=done)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from keepsake import shared_dir
 from keepsake.functions.ids import DEFAULT_IDS
 from keepsake.operators.upsert import merge_parent_edges, mirror_parents
 from keepsake.plans import conversations as plan
 from keepsake.sources.conversations import conversation_nodes, scan_conversations
+from keepsake.sources.snapshots import SnapshotLog
 
 from .dialects import object_id
 from .fragments import DUCK
@@ -115,3 +117,61 @@ def version_parent(spark, d):
         "object_id", F.col("n").cast("bigint").alias("version"), hash_of(F.col("n")).alias("content_hash"), F.lit("stale").alias("parent_id"))
     live = base.select(F.col("node_id").alias("object_id"), hash_of((F.col("turn") % 2 + 1).cast("int")).alias("content_hash"), F.col("parent_key").alias("parent_id"))
     return mirror_parents(versions, live).select(F.col("object_id").alias("node_id"), "version", "parent_id")
+
+
+_ARCHIVES: dict[tuple[str, str], SnapshotLog] = {}
+FIRST, SECOND = "2025-01-01T00:00:00+00:00", "2025-02-01T00:00:00+00:00"
+
+
+def archive(spark, d):
+    """An archive after two imports: half of the documents, then all of them; written once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _ARCHIVES:
+        log = SnapshotLog(spark, shared_dir(spark, "conversation-archive"), buckets=8)
+        given = documents(spark, d)
+        for number, (at, part) in enumerate(((FIRST, given.filter("doc_id % 2 = 0")), (SECOND, given)), 1):
+            plan.import_conversations(part, log, "file:///exports", at, f"run-{number}")
+        _ARCHIVES[key] = log
+    return _ARCHIVES[key]
+
+
+# Deliveries of both imports in order; the state after them, and the versions they brought.
+ARCHIVED = EXPECTED + f""", delivered AS (SELECT k.*, r.run, row_number() OVER (ORDER BY r.run, doc_id, conv_pos, node_pos, kind) AS o
+  FROM keyed k JOIN (SELECT 1 AS run UNION ALL SELECT 2) r ON r.run = 2 OR doc_id % 2 = 0),
+node_ids AS (SELECT doc_id, key, {object_id(DUCK, NODE, "(cid || '/' || key)")} AS oid FROM nodes),
+state AS (SELECT object_id, arg_max(object_type, o) AS object_type, arg_max(source, o) AS source, arg_max(source_id, o) AS source_id, arg_max(content_hash, o) AS content_hash,
+  arg_max(occurred_at, o) AS occurred_at, arg_min(doc_id, o) AS first_doc, arg_max(v, o) AS v, CAST(count(DISTINCT content_hash) AS BIGINT) AS n_versions FROM delivered GROUP BY 1)
+"""
+
+
+@query("archive_objects", ARCHIVED + f"""SELECT s.object_id, object_type, source, source_id, content_hash, occurred_at, n_versions,
+  CASE WHEN source = {MSG} THEN m.oid WHEN source = {NODE} AND source_id LIKE '%/m' AND v <> 8 THEN r.oid END AS parent_id
+FROM state s LEFT JOIN node_ids m ON m.doc_id = s.first_doc AND m.key = 'm' LEFT JOIN node_ids r ON r.doc_id = s.first_doc AND r.key = 'root'""", views=EXPORT_VIEWS)
+def archive_objects(spark, d):
+    log = archive(spark, d)
+    counts = log.read("object_versions").groupBy("object_id").agg(F.count("*").alias("n_versions"))
+    return log.read("objects").join(counts, "object_id").select(
+        "object_id", "object_type", "source", "source_id", "content_hash", "occurred_at", "n_versions", "parent_id")
+
+
+@query("archive_relations", EXPECTED + f"""SELECT '{DEFAULT_IDS.prefix}_rel_' || {DUCK.uuid('''('relation:' || relation_type || ':' || from_object_id || ':' || to_object_id)''')} AS relation_id, relation_type, from_object_id, to_object_id,
+  CASE WHEN min(odd) = 0 THEN '{FIRST}' ELSE '{SECOND}' END AS created_at
+FROM (SELECT 'conversation_contains_node' AS relation_type, {object_id(DUCK, CONV, 'cid')} AS from_object_id, {object_id(DUCK, NODE, "(cid || '/' || key)")} AS to_object_id, doc_id % 2 AS odd FROM nodes
+  UNION ALL SELECT 'node_contains_message', {object_id(DUCK, NODE, "(cid || '/m')")}, {object_id(DUCK, MSG, 'mid')}, doc_id % 2 FROM nodes WHERE key = 'm' AND v <> 5
+  UNION ALL SELECT 'node_parent', {object_id(DUCK, NODE, "(cid || '/root')")}, {object_id(DUCK, NODE, "(cid || '/m')")}, doc_id % 2 FROM mapped WHERE v <> 8) e
+GROUP BY relation_type, from_object_id, to_object_id""", views=EXPORT_VIEWS)
+def archive_relations(spark, d):
+    return archive(spark, d).read("relations").select("relation_id", "relation_type", "from_object_id", "to_object_id", "created_at")
+
+
+@query("archive_runs", ARCHIVED + f"""SELECT 'run-' || r.run AS import_id, 'complete' AS status, CASE r.run WHEN 1 THEN '{FIRST}' ELSE '{SECOND}' END AS started_at,
+  (SELECT count(*) FROM delivered x WHERE x.run = r.run AND kind = 0) AS conversations,
+  (SELECT count(*) FROM v_exports WHERE v IN (2, 3, 4, 5, 6, 7, 8) AND (r.run = 2 OR doc_id % 2 = 0)) AS warnings
+FROM (SELECT 1 AS run UNION ALL SELECT 2) r""", views=EXPORT_VIEWS)
+def archive_runs(spark, d):
+    log = archive(spark, d)
+    kinds = [f"{plan.CONVERSATION}.{outcome}" for outcome in ("inserted", "changed", "unchanged", "conflict")]
+    counted = lambda name: F.coalesce(F.get_json_object("stats_json", f"$['{name}']").cast("long"), F.lit(0))
+    notes = log.read("import_diagnostics").groupBy("import_id").agg(F.count("*").alias("warnings"))
+    return log.runs().join(notes, "import_id").select(
+        "import_id", "status", "started_at", sum((counted(k) for k in kinds), F.lit(0).cast("long")).alias("conversations"), "warnings")

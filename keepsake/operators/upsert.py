@@ -49,10 +49,16 @@ def classify(
 
 
 def apply_outcomes(stored: DataFrame, outcomes: DataFrame, columns: list[str] = OBJECT_COLUMNS) -> DataFrame:
-    """Next state of the table: per key the last row that inserted or changed it wins."""
+    """Next state of the table: per key the last row that inserted or changed it wins.
+
+    The time of creation is that of the first row, stored or delivered.
+    """
     written = outcomes.filter(F.col("outcome").isin("inserted", "changed"))
     payload = [name for name in columns if name not in NATURAL_KEY]
     winner = latest(written, NATURAL_KEY, F.col("ordinal"), payload)
+    if "created_at" in columns:
+        born = written.groupBy(*NATURAL_KEY).agg(F.min_by("created_at", "ordinal").alias("created_at"))
+        winner = winner.drop("created_at").join(born, NATURAL_KEY)
     merged = stored.alias("s").join(winner.alias("w"), NATURAL_KEY, "full_outer")
     taken = F.col("w.object_id").isNotNull()
     kept_from_first = {"created_at"}

@@ -67,7 +67,11 @@ def ingest(items: DataFrame, objects: DataFrame, versions: DataFrame, ids: IdSpa
     Identified rows are written once, so content is read and hashed once; outcomes are
     written because all the other tables come from them.
     """
-    incoming = materialise(identify(items, ids), "deliveries")
+    return ingest_identified(materialise(identify(items, ids), "deliveries"), objects, versions, ids, **hot)
+
+
+def ingest_identified(incoming: DataFrame, objects: DataFrame, versions: DataFrame, ids: IdSpace = DEFAULT_IDS, **hot) -> IngestResult:
+    """``ingest`` of rows that ``identify`` has given their identity, read several times."""
     known = objects.withColumn("fingerprint", delivery_fingerprint())
     outcomes = materialise(classify(incoming, known, **hot), "outcomes")
     written = outcomes.withColumn("parent_id", F.lit(None).cast("string")).withColumn(

@@ -142,3 +142,36 @@ def test_ingest_stream_equals_row_by_row_and_replays(spark, tmp_path):
     stream.merge_batch(spark.createDataFrame(batches[1], schema), 1, root)
     again = stream.read_log(spark, root)
     assert sorted(map(tuple, stream.objects_of(again).collect()), key=str) == before and again.count() == 6
+
+
+def test_many_batches_equal_one_and_read_only_their_buckets(spark, tmp_path, monkeypatch):
+    schema = ("ordinal bigint, object_type string, source string, source_id string, raw_uri string, content binary, "
+              "occurred_at string, captured_at string, mime_type string, metadata_json string")
+    rng = random.Random(3)
+    rows = [(n, "note" if rng.random() < 0.9 else "sheet", "s", f"k{rng.randrange(12)}", "file:///x", bytes([rng.randrange(3)]), None, f"2025-01-01T00:00:{n:02d}+00:00", "text/plain", "{}")
+            for n in range(60)]
+    read = []
+    snapshots = stream.SnapshotLog
+    real = snapshots.read
+    monkeypatch.setattr(snapshots, "read", lambda self, name, snapshot=None, buckets=None: read.append((name, buckets)) or real(self, name, snapshot, buckets))
+    many, one = str(tmp_path / "many"), str(tmp_path / "one")
+    for number in range(5):
+        stream.merge_batch(spark.createDataFrame(rows[number * 12:(number + 1) * 12], schema), number, many, buckets=6, most_parts=2)
+    assert all(buckets is not None for _, buckets in read)
+    stream.merge_batch(spark.createDataFrame(rows, schema), 0, one, buckets=6)
+
+    def told(root):
+        state = stream.state_of(spark, root, 6)
+        log = stream.read_log(spark, root)
+        outcomes = sorted((r["ordinal"], r["outcome"]) for r in log.collect())
+        objects = sorted(map(str, state.read("objects").collect()))
+        versions = sorted(map(tuple, state.read("object_versions").collect()))
+        rejects = sorted(r["ordinal"] for r in spark.read.parquet(stream.rejects_of(root)).collect())
+        # The report over the log says the same as the state.
+        assert objects == sorted(map(str, stream.objects_of(log).collect()))
+        assert versions == sorted((r["object_id"], r["content_hash"], r["version"]) for r in stream.versions_of(log).collect())
+        return outcomes, objects, versions, rejects
+
+    assert told(many) == told(one)
+    state = stream.state_of(spark, many, 6)
+    assert max(len(parts) for parts in state.current().parts["object_versions"].values()) <= 2

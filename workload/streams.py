@@ -50,6 +50,54 @@ UNION ALL SELECT e.principal, e.rn, e.event_id, CASE WHEN len({alive}) < {limit}
  FROM r JOIN e ON e.principal = r.principal AND e.rn = r.rn + 1)"""
 
 
+# Four micro-batches: the first delivery, then the second in thirds; some items are no objects.
+PARTS = """SELECT 1 AS part, {cols} FROM v_items1 UNION ALL SELECT 2 + ordinal % 3 AS part, {cols} FROM v_items2"""
+ITEM = ("ordinal", "object_type", "source", "source_id", "raw_uri", "content_hash", "byte_size", "occurred_at", "captured_at", "mime_type", "metadata_json")
+DELIVERED = PARTS.format(cols=", ".join("CASE WHEN ordinal % 11 = 0 THEN 'spreadsheet' ELSE object_type END AS object_type" if c == "object_type" else c for c in ITEM))
+STREAM_CTES = f""", parts AS ({DELIVERED}),
+valid AS (SELECT *, {object_id(DUCK, 'source', 'source_id')} AS object_id, content_hash || '|' || object_type || '|' || raw_uri || '|' || mime_type || '|' || metadata_json || '|' || coalesce(occurred_at, '~') AS fp FROM parts WHERE object_type <> 'spreadsheet'),
+told AS (SELECT *, lag(fp) OVER (PARTITION BY source, source_id ORDER BY part, ordinal) AS before FROM valid),
+judged AS (SELECT *, CASE WHEN before IS NULL THEN 'inserted' WHEN before = fp THEN 'unchanged' ELSE 'changed' END AS outcome FROM told)
+"""
+_STREAMED: dict[tuple[str, str], str] = {}
+
+
+def streamed(spark, d):
+    """Where the log of the four micro-batches is; they are run once per session."""
+    key = (spark.sparkContext.applicationId, d)
+    if key not in _STREAMED:
+        for view in ("v_items1", "v_items2"):
+            load(spark, d, view).createOrReplaceTempView(view)
+        root = shared_dir(spark, "delivery-stream")
+        spark.sql(DELIVERED).write.partitionBy("part").parquet(f"{root}/staged")
+        schema = spark.read.parquet(f"{root}/staged/part=1").schema
+        for part in (1, 2, 3, 4):
+            spark.read.schema(schema).parquet(f"{root}/staged/part={part}").write.mode("append").parquet(f"{root}/in")
+            incoming = spark.readStream.schema(schema).parquet(f"{root}/in")
+            stream.start(incoming, f"{root}/log", f"{root}/checkpoint", buckets=8).awaitTermination()
+        _STREAMED[key] = f"{root}/log"
+    return _STREAMED[key]
+
+
+@query("stream_outcomes", STREAM_CTES + "SELECT CAST(part - 1 AS BIGINT) AS batch, ordinal, object_id, outcome FROM judged", views=("v_items1", "v_items2"))
+def stream_outcomes(spark, d):
+    return stream.read_log(spark, streamed(spark, d)).select("batch", "ordinal", "object_id", "outcome")
+
+
+@query("stream_rejects", STREAM_CTES + "SELECT CAST(part - 1 AS BIGINT) AS batch, ordinal, source_id, 'unsupported_object_type' AS reason FROM parts WHERE object_type = 'spreadsheet'", views=("v_items1", "v_items2"))
+def stream_rejects(spark, d):
+    rejected = spark.read.parquet(stream.rejects_of(streamed(spark, d)))
+    return rejected.select(F.col("batch").cast("bigint").alias("batch"), "ordinal", "source_id", "reason")
+
+
+@query("stream_state", STREAM_CTES + """SELECT object_id, source_id, arg_max(content_hash, (part, ordinal)) AS content_hash, arg_max(metadata_json, (part, ordinal)) AS metadata_json,
+ arg_min(captured_at, (part, ordinal)) AS created_at, CAST(count(DISTINCT content_hash) AS BIGINT) AS n_versions FROM judged GROUP BY object_id, source_id""", views=("v_items1", "v_items2"))
+def stream_state(spark, d):
+    state = stream.state_of(spark, streamed(spark, d), 8)
+    counts = state.read("object_versions").groupBy("object_id").agg(F.max("version").alias("n_versions"))
+    return state.read("objects").join(counts, "object_id").select("object_id", "source_id", "content_hash", "metadata_json", "created_at", "n_versions")
+
+
 @query("admission_replay", f"""WITH RECURSIVE e AS (SELECT event_id, user_id, epoch_us(ts) AS s, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
 r AS (SELECT user_id, rn, event_id, [s] AS state, true AS admitted FROM e WHERE rn = 1
 UNION ALL SELECT e.user_id, e.rn, e.event_id, CASE WHEN len(list_filter(r.state, lambda x: x > e.s - {DAY}000000)) < {LIMIT} THEN list_append(list_filter(r.state, lambda x: x > e.s - {DAY}000000), e.s) ELSE r.state END,

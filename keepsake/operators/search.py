@@ -1,9 +1,13 @@
 """Ranked evidence search for many queries at once, over a token index.
 
 The index is made once per archive: one row per evidence row and distinct token, with the
-type and time of its object, laid out by token. Searching joins the tokens asked for with
-it and reads no text. Per-object state is a set of concepts bounded by the query, so an
-object with millions of evidence rows aggregates like any other.
+type and time of its object, dealt to buckets by token. Searching opens the buckets of the
+tokens asked for and reads no text.
+
+What a batch of queries asks for is matched once, whoever asks: evidence rows become sets of
+concepts, and those of one object are counted by set. Only these counts meet the
+queries, so neither queries that share a concept nor an object with millions of evidence
+rows multiply anything.
 """
 
 from __future__ import annotations
@@ -24,6 +28,8 @@ MAX_LIMIT, DEFAULT_LIMIT, MAX_QUERY_CHARS = 100, 10, 2000
 TIME_CONFLICT = "time filters and object times must use compatible offsets"
 INDEX, TERMS = "search_index", "search_terms"
 USABLE = ("complete", "partial")
+# Buckets of tokens; an index is partitioned by them on disk.
+TOKEN_BUCKETS = 128
 DEFAULT_CONFIDENCE = 0.5
 
 
@@ -158,8 +164,8 @@ def evidence_tokens(pieces: DataFrame, phrases: tuple[str, ...]) -> DataFrame:
 def build_index(tables: dict[str, DataFrame], vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
     """The token index, to be written once per archive.
 
-    Only objects that can be found are in it, with the newest of their metadata. Rows are
-    laid out by token; a token that occurs everywhere is spread by object.
+    Only objects that can be found are in it, with the newest of their metadata. A token that
+    occurs everywhere makes its bucket large, which is written by several tasks.
     """
     rows = evidence(tables)
     owners = usable_results(tables["semantic_results"]).select("object_id", "semantic_result_id", "semantic_type", "confidence")
@@ -177,9 +183,8 @@ def build_index(tables: dict[str, DataFrame], vocabulary: dict[str, tuple[str, .
     tokens_ = evidence_tokens(pieces.join(found, "object_id", "inner"), phrases)
     is_place = (F.col("evidence_kind") == "derived_metadata") | (
         (F.col("evidence_kind") == "semantic_result") & (F.col("semantic_type") == "detected_places"))
-    # Written before it is laid out: finding the ranges reads these rows, not the texts again.
-    index = materialise(tokens_.withColumn("is_place", F.coalesce(is_place, F.lit(False))), "evidence-tokens")
-    return index.repartitionByRange("token", "object_id").sortWithinPartitions("token")
+    bucket = F.pmod(F.xxhash64("token"), F.lit(TOKEN_BUCKETS)).cast("int")
+    return tokens_.withColumn("is_place", F.coalesce(is_place, F.lit(False))).withColumn("token_bucket", bucket)
 
 
 def terms_of(index: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
@@ -241,40 +246,73 @@ def passes_filters() -> Column:
     return _right_type() & in_time_range(_seen_at(), F.col("time_from"), F.col("time_to"))
 
 
-def query_matches(tables: dict[str, DataFrame], prepared: DataFrame,
-                  vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
-    """One row per query, object and evidence: the concepts (or place words) it matches.
+def evidence_matches(tables: dict[str, DataFrame], prepared: DataFrame,
+                     vocabulary: dict[str, tuple[str, ...]] = VOCABULARY) -> DataFrame:
+    """Evidence rows that hold a concept or place word anybody asks for, with all those they hold.
 
-    Filters are applied where index rows meet queries. Objects whose time cannot be
-    compared with the filter stay, marked ``time_conflict``; they are no hits.
+    Independent of who asks: one row per object and evidence, with sorted ``concepts`` and
+    ``places``, the type and the time of its object.
     """
     tables = with_index(tables, vocabulary)
-    asked = query_concepts(prepared, vocabulary)
-    places = place_needles(prepared)
-    filters = prepared.select("query_id", "media_type", *[
-        part for name in ("time_from", "time_to")
-        for part in (iso_micros(F.col(name)).alias(f"{name}_us"), has_offset(F.col(name)).alias(f"{name}_offset"))])
-    roles = asked.select("query_id", "needle", "concept", F.lit("concept").alias("role")).unionByName(
-        places.select("query_id", "needle", F.col("needle").alias("concept"), F.lit("place").alias("role"))
+    roles = query_concepts(prepared, vocabulary).select("needle", "concept", F.lit(False).alias("place")).unionByName(
+        place_needles(prepared).select("needle", F.col("needle").alias("concept"), F.lit(True).alias("place"))
     )
-    roles = materialise(roles.join(filters, "query_id"), "needles")
+    roles = materialise(roles.distinct(), "needles")
     wanted = roles.join(needle_tokens(tables[TERMS], roles), "needle", "inner").drop("needle")
     # Several aliases of a concept may start the same token. Written, the table has a known
     # size: the optimiser broadcasts it below its threshold and shuffles it above.
     wanted = materialise(wanted.distinct(), "wanted-tokens")
-    hits = tables[INDEX].join(wanted, "token", "inner")
+    buckets = [row[0] for row in wanted.select(F.pmod(F.xxhash64("token"), F.lit(TOKEN_BUCKETS)).cast("int")).distinct().collect()]
+    hits = tables[INDEX].filter(F.col("token_bucket").isin(buckets)).drop("token_bucket").join(wanted, "token", "inner").filter("is_place OR NOT place")
+    named = lambda place: F.array_sort(F.collect_set(F.when(F.col("place") == place, F.col("concept"))))
+    # Concepts per evidence row are bounded by what the batch asks for.
+    return hits.groupBy("object_id", "object_type", "seen_us", "seen_offset", "evidence_kind", "evidence_id", "semantic_type").agg(
+        named(False).alias("concepts"), named(True).alias("places"), F.max("confidence").alias("confidence"))
+
+
+def _gathered(sets: DataFrame, prepared: DataFrame) -> DataFrame:
+    """Per query and object what of the query it matches, from counted sets of concepts.
+
+    Type and time filters hold for the object as a whole. Objects whose time cannot be
+    compared with the filter stay, marked ``time_conflict``; they are no hits.
+    """
+    asked = prepared.select("query_id", "media_type", "requested", "place_words", *[
+        part for name in ("time_from", "time_to")
+        for part in (iso_micros(F.col(name)).alias(f"{name}_us"), has_offset(F.col(name)).alias(f"{name}_offset"))])
+    by_concept = sets.select("*", F.explode("concepts").alias("word")).join(asked.select("*", F.explode("requested").alias("word")), "word")
+    # Of the concepts a set shares with a query, the first brings the set's counts.
+    part = F.array_intersect("concepts", "requested")
+    by_concept = by_concept.withColumn("part", part).filter(F.element_at("part", 1) == F.col("word")).withColumn("place", F.lit(None).cast("string"))
+    by_place = sets.filter(F.size("places") > 0).select("*", F.explode("places").alias("word")).join(asked.select("*", F.explode("place_words").alias("word")), "word")
+    none = F.lit(0).cast("long")
+    by_place = by_place.withColumns({"part": F.array().cast("array<string>"), "place": F.col("word"), "n": none, "n_known": none, "known": F.lit(0.0)})
     given = lambda name: F.col(f"{name}_us").isNotNull()
     conflict = F.col("seen_us").isNotNull() & (
         (given("time_from") & (F.col("time_from_offset") != F.col("seen_offset")))
         | (given("time_to") & (F.col("time_to_offset") != F.col("seen_offset"))))
     inside = (~given("time_from") | (F.col("seen_us") >= F.col("time_from_us"))) & (
         ~given("time_to") | (F.col("seen_us") <= F.col("time_to_us")))
-    hits = hits.filter(((F.col("role") == "concept") | F.col("is_place")) & _right_type())
-    hits = hits.withColumn("time_conflict", F.coalesce(conflict, F.lit(False))).filter(F.col("time_conflict") | inside)
-    # Concepts per evidence row are bounded by the query.
-    return hits.groupBy("query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "role", "time_conflict").agg(
-        F.collect_set("concept").alias("concepts"), F.max("confidence").alias("confidence")
-    )
+    rows = by_concept.unionByName(by_place).filter(_right_type()).withColumn("time_conflict", F.coalesce(conflict, F.lit(False)))
+    return rows.filter(F.col("time_conflict") | inside).groupBy("query_id", "object_id", "time_conflict").agg(
+        F.array_sort(F.array_distinct(F.flatten(F.collect_set("part")))).alias("matched"),
+        F.size(F.collect_set("place")).alias("n_place"), F.sum("n").alias("n_evidence"),
+        F.coalesce(F.try_divide(F.sum("known"), F.sum("n_known")), F.lit(DEFAULT_CONFIDENCE)).alias("mean_confidence"))
+
+
+def query_matches(tables: dict[str, DataFrame], prepared: DataFrame, vocabulary: dict[str, tuple[str, ...]] = VOCABULARY,
+                  found: DataFrame | None = None) -> DataFrame:
+    """One row per query and object: matched concepts, place words, evidence and its confidence.
+
+    ``found`` are the evidence matches of the batch, if they are there already.
+    """
+    found = evidence_matches(tables, prepared, vocabulary) if found is None else found
+    return _gathered(_counted_sets(found), prepared)
+
+
+def _counted_sets(found: DataFrame) -> DataFrame:
+    """Evidence of each object, counted by the concepts it holds."""
+    return found.groupBy("object_id", "object_type", "seen_us", "seen_offset", "concepts", "places").agg(
+        F.count("*").alias("n"), F.count("confidence").alias("n_known"), F.coalesce(F.sum("confidence"), F.lit(0.0)).alias("known"))
 
 
 def score_hits(matches: DataFrame, tables: dict[str, DataFrame], prepared: DataFrame) -> DataFrame:
@@ -283,18 +321,7 @@ def score_hits(matches: DataFrame, tables: dict[str, DataFrame], prepared: DataF
     Matches come filtered; what could not be compared with a time filter is left out here.
     """
     info = prepared.select("query_id", "k", "requested", "place_words")
-    is_concept = F.col("role") == "concept"
-    rows = matches.filter("NOT time_conflict").select(
-        "query_id", "object_id", "role", "confidence", F.posexplode("concepts").alias("nth", "concept")
-    )
-    once = is_concept & (F.col("nth") == 0)
-    per_object = rows.groupBy("query_id", "object_id").agg(
-        F.array_sort(F.collect_set(F.when(is_concept, F.col("concept")))).alias("matched"),
-        F.size(F.collect_set(F.when(~is_concept, F.col("concept")))).alias("n_place"),
-        F.count_if(once).alias("n_evidence"),
-        F.coalesce(F.avg(F.when(once, F.col("confidence"))), F.lit(DEFAULT_CONFIDENCE)).alias("mean_confidence"),
-    ).filter(F.size("matched") > 0)
-    per_object = per_object.join(info, "query_id", "inner")
+    per_object = matches.filter("NOT time_conflict").filter(F.size("matched") > 0).join(info, "query_id", "inner")
     per_object = per_object.filter(F.col("n_place") == F.size("place_words"))
     objects = tables["objects"].select("object_id", "object_type", "raw_uri", "occurred_at", "captured_at")
     joined = per_object.join(objects, "object_id", "inner")
@@ -362,14 +389,17 @@ def search(tables: dict[str, DataFrame], queries: DataFrame,
     are left out, all others are found.
     """
     valid = prepare(queries, vocabulary).filter("error IS NULL")
-    # Hits, evidence and summary all come from the matches, so these are found once.
-    matches = materialise(query_matches(tables, valid, vocabulary), "matches")
+    # Matched evidence is written once, without queries; hits, summary and evidence read it.
+    found = materialise(evidence_matches(tables, valid, vocabulary), "found")
+    matches = materialise(query_matches(tables, valid, vocabulary, found), "matches")
     scored = score_hits(matches, tables, valid)
     hits = materialise(top_hits(scored), "hits")
-    wanted = hits.select("query_id", "object_id")
-    rows = matches.filter("role = 'concept'").join(wanted, ["query_id", "object_id"], "left_semi")
+    # Only the few objects that are hits bring their evidence to the queries.
+    wanted = hits.select("query_id", "object_id").join(valid.select("query_id", "requested"), "query_id")
+    rows = found.join(wanted, "object_id").withColumn("concepts", F.array_intersect("concepts", "requested")).filter(F.size("concepts") > 0)
+    rows = rows.select("query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "concepts", "confidence")
     errors = matches.filter("time_conflict").select("query_id", F.lit(TIME_CONFLICT).alias("error")).distinct()
-    return SearchAnswer(hits, rows.drop("time_conflict"), summarise(scored, valid), errors)
+    return SearchAnswer(hits, rows, summarise(scored, valid), errors)
 
 
 def evidence_snippets(rows: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
@@ -429,8 +459,13 @@ def scan_matches(tables: dict[str, DataFrame], prepared: DataFrame,
     hits = pieces.join(wanted, contains_alias(F.col("normal"), F.col("needle")), "inner").filter((F.col("role") == "concept") | is_place)
     filters = prepared.select("query_id", "media_type", "time_from", "time_to")
     hits = hits.join(found, "object_id", "inner").join(filters, "query_id").filter(passes_filters())
-    return hits.groupBy("query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "role").agg(
-        F.collect_set("concept").alias("concepts"), F.max("confidence").alias("confidence")
+    rows = hits.groupBy("query_id", "object_id", "evidence_kind", "evidence_id", "role").agg(
+        F.collect_set("concept").alias("concepts"), F.max("confidence").alias("confidence"))
+    is_concept = F.col("role") == "concept"
+    named = lambda mine: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(mine, F.col("concepts"))))))
+    return rows.groupBy("query_id", "object_id").agg(
+        named(is_concept).alias("matched"), F.size(named(~is_concept)).alias("n_place"), F.count_if(is_concept).alias("n_evidence"),
+        F.coalesce(F.avg(F.when(is_concept, F.col("confidence"))), F.lit(DEFAULT_CONFIDENCE)).alias("mean_confidence"),
     ).withColumn("time_conflict", F.lit(False))
 
 

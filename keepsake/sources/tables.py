@@ -41,7 +41,8 @@ def write_index(tables: dict[str, DataFrame], root: str, **options) -> None:
     """
     index = build_index(tables, **options)
     root = root.rstrip("/")
-    index.write.mode("errorifexists").parquet(f"{root}/{INDEX}")
+    # Spark splits a bucket that is large, and sorts what it writes by token.
+    index.hint("rebalance", "token_bucket").sortWithinPartitions("token_bucket", "token").write.mode("errorifexists").partitionBy("token_bucket").parquet(f"{root}/{INDEX}")
     written = index.sparkSession.read.parquet(f"{root}/{INDEX}")
     terms_of(written, **options).write.mode("errorifexists").parquet(f"{root}/{TERMS}")
 

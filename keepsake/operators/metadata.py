@@ -226,6 +226,17 @@ def backfill_times(objects: DataFrame, extractions: DataFrame) -> DataFrame:
     return joined.withColumn("occurred_at", F.coalesce("occurred_at", "occurred_at_derived")).drop("occurred_at_derived")
 
 
+def backfill_versions(versions: DataFrame, extractions: DataFrame) -> DataFrame:
+    """Versions with the time read from their own content: where they know one, that one stays.
+
+    Versions of other contents of the object learn nothing.
+    """
+    key = ["object_id", "content_hash"]
+    derived = latest(extractions.filter("backfill"), key, F.col("extraction_id"), ["occurred_at"]).withColumnRenamed("occurred_at", "_derived")
+    joined = versions.join(derived, key, "left").withColumn("occurred_at", F.coalesce("occurred_at", "_derived"))
+    return joined.select(*versions.columns)
+
+
 def latest_metadata(extractions: DataFrame) -> DataFrame:
     """Newest extraction per object, ties broken by the greater id."""
     columns = [name for name in extractions.columns if name != "object_id"]

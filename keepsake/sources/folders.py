@@ -2,18 +2,40 @@
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 KIND = "local_folder"
 
 
+def _resolved_inside(root: str):
+    """Local files whose path, links followed, is still below the folder; links themselves may be there."""
+
+    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        base = os.path.join(os.path.realpath(root), "")
+        for frame in frames:
+            local = frame["path"].str.replace("^file:/+", "/", regex=True)
+            yield frame[[os.path.realpath(path).startswith(base) for path in local]]
+
+    return keep
+
+
 def scan_folder(spark: SparkSession, folder: str) -> DataFrame:
-    """``path, length, modificationTime`` of the files in a folder, content not read."""
-    return (
+    """``path, length, modificationTime`` of the files in a folder, content not read.
+
+    Links of a local folder that lead out of it are left out; other stores have none. Paths
+    alone are looked at, where the files are.
+    """
+    files = (
         spark.read.format("binaryFile").option("recursiveFileLookup", "false").load(folder)
         .select("path", "length", "modificationTime")
     )
+    root = folder.removeprefix("file://") if folder.startswith(("/", "file:///")) else None
+    return files if root is None else files.mapInPandas(_resolved_inside(root), files.schema)
 
 
 def list_photos(files: DataFrame, root: str, namespace: str) -> DataFrame:

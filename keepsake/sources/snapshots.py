@@ -32,6 +32,7 @@ BUCKETS = 256
 KEYS = {
     "objects": ("source", "source_id"), "object_versions": ("object_id",), "relations": ("to_object_id",),
     "blobs": ("blob_id",), "attachments": ("object_id",), "blob_locations": ("object_id",), "import_diagnostics": (),
+    "metadata_extractions": ("object_id",), "metadata_diagnostics": (),
 }
 RUN_SCHEMA = TABLES["import_runs"].schema
 

@@ -114,3 +114,32 @@ def test_merges_rewrite_only_touched_buckets_and_old_parts_go(spark, tmp_path):
     assert len(log.current().parts["t"][str(near[0])]) == 1 and log.read("t").filter("k = '17'").count() == 3
     rows = log.read("t").count()
     assert log.expire(keep=1) > 0 and log.read("t").count() == rows
+
+
+def test_metadata_fills_times_of_objects_and_versions(spark, tmp_path):
+    from keepsake.plans.metadata import import_metadata
+
+    log = SnapshotLog(spark, str(tmp_path / "archive"), buckets=4)
+    known, other = "2020-05-01T10:00:00+00:00", "2021-06-01T10:00:00+00:00"
+    rows = [("o1", None, "h1"), ("o2", known, "h2"), ("o3", other, "h3"), ("o4", None, "h4")]
+    objects = spark.createDataFrame(rows, "object_id string, occurred_at string, content_hash string").select(
+        "*", F.lit("photo").alias("object_type"), F.lit("s").alias("source"), F.col("object_id").alias("source_id"))
+    full = lambda df, name: df.select(*[F.col(c) if c in df.columns else F.lit(None).cast(t).alias(c) for c, t in log.read(name).dtypes])
+    versions = spark.createDataFrame([("o1", 1, "old", None), ("o1", 2, "h1", None), ("o2", 1, "h2", known), ("o3", 1, "h3", other), ("o4", 1, "h4", "1999-01-01T00:00:00+00:00")],
+                                     "object_id string, version bigint, content_hash string, occurred_at string")
+    attachments = objects.select("object_id", F.concat(F.lit("b-"), "object_id").alias("blob_id"))
+    log.commit(log.current(), appended={name: log.stage(name, full(df, name)) for name, df in
+                                        {"objects": objects, "object_versions": versions, "attachments": attachments}.items()})
+    note = [("photo.gps_missing", "No GPS tags are present")]
+    tags = spark.createDataFrame([(o, known, "tags", "partial", note, "{}", "photo.tags@1") for o in ("o1", "o2", "o3", "o4")],
+                                 "object_id string, occurred_at string, occurred_at_source string, status string, diagnostics array<struct<code string, detail string>>, metadata_json string, extractor_id string")
+    import_metadata(tags, log, AT.format(1), "tags")
+    assert {r.object_id: r.occurred_at for r in log.read("objects").collect()} == {"o1": known, "o2": known, "o3": other, "o4": known}
+    # The older content knows nothing, and what a version knows it keeps.
+    assert {(r.object_id, r.version): r.occurred_at for r in log.read("object_versions").collect()} == {
+        ("o1", 1): None, ("o1", 2): known, ("o2", 1): known, ("o3", 1): other, ("o4", 1): "1999-01-01T00:00:00+00:00"}
+    assert {r.object_id: (r.status, r.occurred_at) for r in log.read("metadata_extractions").collect()}["o3"] == ("partial", None)
+    assert log.read("metadata_diagnostics").filter("code = 'canonical.occurred_at_conflict'").count() == 1
+    before = {name: sorted(map(str, log.read(name).collect())) for name in ("objects", "object_versions", "metadata_extractions", "metadata_diagnostics")}
+    import_metadata(tags, log, AT.format(2))
+    assert before == {name: sorted(map(str, log.read(name).collect())) for name in before}

@@ -115,6 +115,18 @@ def metadata_projection(spark, d):
     return projected(spark, d).select("extraction_id", "object_id", "status", "occurred_at", "occurred_at_confidence", "backfill")
 
 
+@query("version_backfill", PROJECTED + """, filled AS (SELECT event_id, object_id, CASE WHEN event_id % 10 <> 7 AND moment IS NOT NULL AND event_id % 6 NOT IN (1, 2) THEN moment END AS derived FROM photo)
+SELECT object_id, CAST(v AS BIGINT) AS version, CASE WHEN v = 2 THEN CASE WHEN event_id % 4 = 0 THEN '1999-01-01T00:00:00+00:00' ELSE derived END END AS occurred_at
+FROM filled CROSS JOIN (SELECT 1 AS v UNION ALL SELECT 2) x""", views=("v_exif",))
+def version_backfill(spark, d):
+    n = F.col("event_id")
+    photos = metadata.photo_metadata(exif_records(spark, d)).select("object_id", "event_id")
+    versions = photos.select("object_id", "event_id", F.explode(F.array(F.lit(1), F.lit(2))).alias("v")).select(
+        "object_id", F.col("v").cast("bigint").alias("version"), F.when(F.col("v") == 2, "h").otherwise("older").alias("content_hash"),
+        F.when((F.col("v") == 2) & (n % 4 == 0), "1999-01-01T00:00:00+00:00").alias("occurred_at"))
+    return metadata.backfill_versions(versions, projected(spark, d)).select("object_id", "version", "occurred_at")
+
+
 @query("metadata_diagnostics", PROJECTED + """SELECT extraction_id, 'warning' AS severity, unnest(CASE WHEN dropped THEN list_append(codes, 'canonical.occurred_at_conflict') ELSE codes END) AS code FROM pr""", views=("v_exif",))
 def metadata_diagnostics(spark, d):
     return metadata.metadata_diagnostics(projected(spark, d)).select("extraction_id", "severity", "code")

@@ -110,6 +110,14 @@ def rank_parity(spark, d):
     return quality.rank_parity(quick, plain)
 
 
+@query("rank_differs", EVIDENCE_CTES + "SELECT query_id, count(*) AS n_ranks, query_id % 3 <> 0 AS rank_matches FROM hits GROUP BY query_id", views=SEARCH_VIEWS)
+def rank_differs(spark, d):
+    """Rankings of which every third query has another object in the first place."""
+    ranked = search.search(archive(spark, d), load(spark, d, "v_queries")).hits.select("query_id", "rank", "object_id")
+    wrong = (F.col("query_id") % 3 == 0) & (F.col("rank") == 1)
+    return quality.rank_parity(ranked, ranked.withColumn("object_id", F.when(wrong, F.lit("another")).otherwise(F.col("object_id"))))
+
+
 @query("leak_report", rf"""SELECT 'raw' AS column_name, count(*) FILTER (contains(lower(t), 'file:///') OR regexp_matches(t, '(?i)\b[a-z]:[\\/]')) AS leaking_rows FROM (SELECT {SEEDED} AS t FROM documents) x UNION ALL SELECT 'safe', 0""")
 def leak_report(spark, d):
     public = load(spark, d, "documents").select(

@@ -164,6 +164,16 @@ def search_public(spark, d):
         F.array_join("source_content_hashes", ",").alias("source_content_hashes"), "n_results", "first_result_id")
 
 
+@query("search_evidence", EVIDENCE_CTES + SHOWN + """SELECT query_id, s.object_id, evidence_kind, evidence_id, s.semantic_type, s.confidence, snippet,
+ CASE WHEN evidence_kind = 'semantic_result' THEN r.extractor_name END AS extractor_name, CASE WHEN evidence_kind = 'semantic_result' THEN r.extractor_version END AS extractor_version,
+ CASE WHEN evidence_kind = 'semantic_result' THEN r.created_at END AS created_at FROM shown s LEFT JOIN v_results r ON r.semantic_result_id = evidence_id""", views=SEARCH_VIEWS)
+def search_evidence(spark, d):
+    tables = archive(spark, d)
+    answer = search.search(tables, load(spark, d, "v_queries"))
+    return search.evidence_snippets(answer.evidence, tables).select(
+        "query_id", "object_id", "evidence_kind", "evidence_id", "semantic_type", "confidence", "snippet", "extractor_name", "extractor_version", "created_at")
+
+
 @query("evidence_compact", EVIDENCE_CTES + SHOWN + r""", known AS (SELECT query_id, object_id, CASE semantic_type WHEN 'image_caption' THEN 'caption' WHEN 'detected_objects' THEN 'object' WHEN 'detected_places' THEN 'place' ELSE 'metadata' END AS type,
   CASE WHEN semantic_type = 'canonical_metadata' THEN 'canonical metadata matched (private details redacted)' WHEN semantic_type = 'media_metadata' THEN snippet
     ELSE regexp_replace(snippet, '(?i)[^\s"'']+[\\/][^\s"'']+\.(?:jpe?g|png|webp|heic|mp4|mov|m4a|mp3|wav)', '[private-reference-redacted]', 'g') END AS value,

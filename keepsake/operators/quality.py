@@ -158,6 +158,13 @@ def align(df: DataFrame, contract: Table) -> DataFrame:
     return df.select(*columns)
 
 
+def stored_version(tables: dict[str, DataFrame]) -> int:
+    """The layout version an archive says it has; 0 if it says none."""
+    if "schema_migrations" not in tables:
+        return 0
+    return tables["schema_migrations"].agg(F.max("version")).first()[0] or 0
+
+
 def health_report(spark: SparkSession, tables: dict[str, DataFrame], probe_hits: DataFrame | None,
                   schema_version: int, expected_version: int) -> DataFrame:
     """One row: versions, counts, whether search answers, and the issues found."""

@@ -146,6 +146,26 @@ def health_report(spark, d):
     return quality.health_report(spark, tables, search.search(tables, probe).hits, SCHEMA_VERSION, SCHEMA_VERSION)
 
 
+@query("health_issues", f"""SELECT 'older' AS archive, {SCHEMA_VERSION - 1} AS schema_version, 'schema_version {SCHEMA_VERSION - 1} does not match expected {SCHEMA_VERSION}' AS issues, 'WARNING' AS status, (SELECT count(*) FROM v_objects) AS n_objects
+UNION ALL SELECT 'no blobs', {SCHEMA_VERSION}, 'table is missing: blobs; read-only search is unavailable', 'WARNING', (SELECT count(*) FROM v_objects)
+UNION ALL SELECT 'no objects', 0, 'schema_version 0 does not match expected {SCHEMA_VERSION}; table is missing: objects; read-only search is unavailable', 'ERROR', NULL""", views=(*TABLES, "v_blobs"))
+def health_issues(spark, d):
+    """Archives with faults: an older layout, one table that is not there, nothing to index."""
+    tables = {**archive(spark, d), "blobs": load(spark, d, "v_blobs")}
+    without = lambda name: {key: df for key, df in tables.items() if key != name}
+    version = lambda n: spark.createDataFrame([(k, "2024-01-01") for k in range(1, n + 1)], "version int, applied_at string")
+    probe = load(spark, d, "v_objects").limit(1)
+    cases = {"older": ({**tables, "schema_migrations": version(SCHEMA_VERSION - 1)}, probe),
+             "no blobs": ({**without("blobs"), "schema_migrations": version(SCHEMA_VERSION)}, None), "no objects": (without("objects"), None)}
+    rows = None
+    for name, (held, hits) in cases.items():
+        row = quality.health_report(spark, held, hits, quality.stored_version(held), SCHEMA_VERSION)
+        count = F.col("n_objects") if "n_objects" in row.columns else F.lit(None).cast("bigint").alias("n_objects")
+        row = row.select(F.lit(name).alias("archive"), "schema_version", "issues", "status", count)
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
 @query("idempotence_report", "SELECT (SELECT count(*) FROM documents) AS n_first, true AS ids_stable, true AS all_unchanged_on_repeat, true AS counts_stable_on_repeat")
 def idempotence(spark, d):
     # Objects stored under another id are conflicts in every run; give them their own ids.

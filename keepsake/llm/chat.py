@@ -14,6 +14,16 @@ from .common import let
 # Control strings. ``<`` and ``#`` never occur in an escaped text, so none can be forged.
 OPEN, END_ROLE, BETWEEN, CLOSE = "### ", ":#", "<part>", "</turn>"
 TRAINED_ROLE = "assistant"
+# Arrays are worked on in blocks of this many items: appending copies what is there, and
+# finding a character counts from the start.
+BLOCK = 256
+
+
+def _in_blocks(items: Column) -> Column:
+    """An array as arrays of ``BLOCK`` items in order."""
+    count = F.ceil(F.size(items) / BLOCK).cast("int")
+    numbers = F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda k: F.slice(items, k * BLOCK + 1, BLOCK))
 
 
 def escaped(text: Column) -> Column:
@@ -70,6 +80,20 @@ def format_conversations(messages: DataFrame) -> DataFrame:
         )))
 
     def placed(pieces: Column) -> Column:
+        """Spans of trained pieces, place by place within blocks, then moved by the lengths before."""
+        length = lambda block: F.aggregate(block, F.lit(0), lambda n, p: n + F.length(p["text"]))
+        told = F.transform(_in_blocks(pieces), lambda block: F.struct(placed_in_block(block).alias("spans"), length(block).alias("length")))
+        first = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+        step = lambda state, block: F.struct((state["at"] + block["length"]).alias("at"), F.array_append(state["starts"], state["at"]).alias("starts"))
+
+        def moved(blocks: Column) -> Column:
+            starts = F.aggregate(blocks, first, step, lambda state: state["starts"])
+            return let(starts, lambda s: F.flatten(F.transform(blocks, lambda block, k: F.transform(
+                block["spans"], lambda span: F.struct((span["start"] + F.get(s, k)).alias("start"), span["length"].alias("length"))))))
+
+        return let(told, moved)
+
+    def placed_in_block(pieces: Column) -> Column:
         """Spans of trained pieces; places are running sums of lengths."""
         first = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans"))
 
@@ -102,4 +126,11 @@ def read_conversations(formatted: DataFrame) -> DataFrame:
 
 def loss_text(formatted: Column, spans: Column) -> Column:
     """What the loss is taken over: the marked spans, unescaped, with nothing between."""
-    return F.array_join(F.transform(spans, lambda s: unescaped(F.substring(formatted, s["start"] + 1, s["length"]))), "")
+    cut = lambda text, span, origin: unescaped(F.substring(text, span["start"] - origin + 1, span["length"]))
+
+    def told(block: Column) -> Column:
+        first, last = F.get(block, 0), F.get(block, F.size(block) - 1)
+        stretch = F.substring(formatted, first["start"] + 1, last["start"] + last["length"] - first["start"])
+        return let(stretch, lambda text: F.array_join(F.transform(block, lambda span: cut(text, span, first["start"])), ""))
+
+    return F.array_join(F.transform(_in_blocks(spans), told), "")

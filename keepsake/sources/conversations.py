@@ -24,19 +24,20 @@ BLANK = re.compile(r"[ \t\n\r]*")
 
 
 def read_exports(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """``doc_id, raw_uri, body`` of export files: one document per file, or one per line.
+    """``doc_id, raw_uri, body`` of export files (and their ``size``): one document per file, or one per line.
 
     Files are numbered in the order of their paths. Lines are numbered as they are read:
     those of a file in their order, files as Spark takes them. A file that is one
     document is read by one task; lines split like any text.
     """
     uri = F.col("_metadata.file_path").alias("raw_uri")
-    text = spark.read.text(path, wholetext=not lines).select(uri, F.col("value").alias("body"))
+    size = F.col("_metadata.file_size").alias("size")
+    text = spark.read.text(path, wholetext=not lines).select(uri, size, F.col("value").alias("body"))
     if lines:
         return text.select(F.monotonically_increasing_id().alias("doc_id"), "raw_uri", "body")
     # The listing carries no content, and is sorted over many tasks.
     files = spark.read.format("binaryFile").load(path).select(uri).repartitionByRange("raw_uri").sortWithinPartitions("raw_uri")
-    return text.join(files.select("raw_uri", F.monotonically_increasing_id().alias("doc_id")), "raw_uri").select("doc_id", "raw_uri", "body")
+    return text.join(files.select("raw_uri", F.monotonically_increasing_id().alias("doc_id")), "raw_uri").select("doc_id", "raw_uri", "size", "body")
 
 
 def _get(value: Column, path: str, kind: str) -> Column:
@@ -63,6 +64,8 @@ def _list_bounds(body: str, at: int, decoder: json.JSONDecoder) -> tuple[list[tu
         at = BLANK.match(body, end).end()
         if body[at] == ",":
             at = BLANK.match(body, at + 1).end()
+            if body[at] == "]":
+                raise ValueError("comma before the end")
         elif body[at] != "]":
             raise ValueError("list is not closed")
     return bounds, at + 1
@@ -100,6 +103,8 @@ def conversation_bounds(body: str) -> list[tuple[int, int]] | None:
             at = BLANK.match(body, end).end()
             if body[at] == ",":
                 at = BLANK.match(body, at + 1).end()
+                if body[at] == "}":
+                    return None
             elif body[at] != "}":
                 return None
     except (ValueError, IndexError, RecursionError):
@@ -133,9 +138,13 @@ def scan_conversations(documents: DataFrame, strict: bool = True, whole_bytes: i
     without position whose ``mapping_state`` is ``unreadable``. So is, at its position, a
     conversation that is itself beyond the limits of VARIANT. For JSON lines, one
     conversation each, use ``scan_lines``.
+
+    Documents up to ``whole_bytes`` are parsed as one value, larger ones cut first. Where the
+    documents bring the ``size`` of their files, each file is opened by one of the two only.
     """
-    documents = documents.select("doc_id", "raw_uri", "body")
-    large = F.coalesce(F.octet_length("body") > whole_bytes, F.lit(False))
+    size = F.col("size") if "size" in documents.columns else F.octet_length("body")
+    documents = documents.withColumn("size", size).select("doc_id", "raw_uri", "size", "body")
+    large = F.coalesce(F.col("size") > whole_bytes, F.lit(False))
     parsed = documents.filter(~large).select("doc_id", "raw_uri", F.try_parse_json("body").alias("doc"))
     listed = F.coalesce(
         _get(F.col("doc"), "$", "array<variant>"), _get(F.col("doc"), "$.conversations", "array<variant>")
@@ -144,7 +153,7 @@ def scan_conversations(documents: DataFrame, strict: bool = True, whole_bytes: i
         "doc_id", "raw_uri", F.col("listed").isNull().alias("unreadable"), F.posexplode_outer("listed").alias("conv_pos", "conv")
     ).filter("unreadable OR conv_pos IS NOT NULL")
     schema = f"doc_id {dict(documents.dtypes)['doc_id']}, raw_uri string, conv_pos int, text string"
-    cut = documents.filter(large).mapInPandas(_cut, schema).select(
+    cut = documents.filter(large).select("doc_id", "raw_uri", "body").mapInPandas(_cut, schema).select(
         "doc_id", "raw_uri", "conv_pos", F.try_parse_json("text").alias("conv")
     ).select("doc_id", "raw_uri", F.col("conv").isNull().alias("unreadable"), "conv_pos", "conv")
     items = whole.unionByName(cut)

@@ -204,3 +204,22 @@ def test_malformed_documents_are_read_alike_at_any_size(spark):
     for limit in (1, 20_000_000):
         found = sorted((r["doc_id"], r["mapping_state"]) for r in scan_conversations(docs, strict=False, whole_bytes=limit).collect())
         assert found == [(0, "unreadable"), (1, "unreadable"), (2, "object"), (3, "object")], limit
+
+
+def test_trailing_commas_are_refused_at_any_size(spark):
+    good = '{"id": "a", "mapping": {}}'
+    bad = [f"[{good},]", f'{{"conversations": [{good},]}}', f'{{"conversations": [{good}],}}', f'[{good}, {{"id": "b",}}]']
+    docs = spark.createDataFrame([(k, f"file:///{k}", body) for k, body in enumerate(bad)], "doc_id bigint, raw_uri string, body string")
+    for limit in (1, 20_000_000):
+        found = scan_conversations(docs, strict=False, whole_bytes=limit)
+        assert [(r["conv_pos"], r["mapping_state"]) for r in found.collect()] == [(None, "unreadable")] * 4, limit
+
+
+def test_each_file_is_opened_once(spark, tmp_path):
+    good = '{"id": "%s", "mapping": {}}'
+    (tmp_path / "small.json").write_text(f"[{good % 'a'}]")
+    (tmp_path / "large.json").write_text(f"[{good % 'b'}, {good % 'c'}]" + " " * 300)
+    found = scan_conversations(read_exports(spark, str(tmp_path)), whole_bytes=200)
+    assert sorted(r["conv_id"] for r in found.collect()) == ["a", "b", "c"]
+    parts = [scan_conversations(read_exports(spark, str(tmp_path)).filter(f"size {sign} 200"), whole_bytes=200) for sign in ("<=", ">")]
+    assert [sorted(r["conv_id"] for r in part.collect()) for part in parts] == [["a"], ["b", "c"]]

@@ -99,3 +99,17 @@ def test_expansion_gives_common_prefixes(seed):
         for row in range(1, len(order)):
             a, b = (symbols[i : close(i)].tolist()[:least] for i in (order[row - 1], order[row]))
             assert bounds[row] == (len(a) < least or a != b), (row, a, b)
+
+
+def test_query_on_whole_table(spark):
+    import hashlib
+
+    from keepsake.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.001"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
+    want = {k: w for (k, _), w in zip(docs, brute([t for _, t in docs], 200))}
+    got = {r.doc_id: r for r in QUERIES["op12_suffix_array_dedup"](spark, d).collect()}
+    assert set(got) == set(want)
+    for k, (n, removed, spans, kept) in want.items():
+        assert (got[k].n_bytes, got[k].n_removed, got[k].n_spans, got[k].kept_sha256) == (n, removed, len(spans), hashlib.sha256(kept).hexdigest())

@@ -28,6 +28,7 @@ OUTPUT_TYPE = (
 )
 # The tasks a vision backend is asked for.
 CAPTION_TASK, OCR_TASK, DETECTION_TASK = "<DETAILED_CAPTION>", "<OCR_WITH_REGION>", "<OD>"
+VISION_TASKS = {"caption": CAPTION_TASK, "ocr": OCR_TASK, "objects": DETECTION_TASK}
 GPS_PROVENANCE = '{"backend":"canonical-derived-metadata","method":"gps_only_no_reverse_geocoding"}'
 
 
@@ -365,29 +366,83 @@ def python_outputs(contexts: DataFrame, handler: Callable[[dict], dict], columns
 def vision_outputs(photos: DataFrame, factory: Callable[[], object], key: str = "object_id") -> DataFrame:
     """Ask a vision backend about each photo, one backend per Python worker.
 
-    ``photos`` has the key and ``content``; the backend offers ``analyze(content, task)``.
-    Each answer is JSON text or, when the backend raises, an error.
+    ``photos`` has the key and ``content``; the backend offers ``analyze(content, task)``. It
+    answers with what it found (text, or a mapping), or with an object or mapping that holds
+    this as ``parsed`` and may add ``width``, ``height`` and ``runtime``. Each answer is JSON
+    text or, when the backend raises or cannot be made, an error. ``backend`` names its class.
     """
-    tasks = (("caption", CAPTION_TASK), ("ocr", OCR_TASK), ("objects", DETECTION_TASK))
+    tasks = VISION_TASKS.items()
+
+    def plain(answer) -> str:
+        if hasattr(answer, "parsed"):
+            answer = {name: getattr(answer, name, None) for name in ("parsed", "width", "height", "runtime")}
+        return json.dumps(answer, ensure_ascii=False)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         backend = None
         for batch in batches:
-            backend = backend or factory()
             rows = []
             for identity, content in zip(batch[key], batch["content"]):
-                row = {key: identity}
+                row = {key: identity, "backend": None if backend is None else type(backend).__name__}
                 for name, task in tasks:
+                    row[f"{name}_answer"] = row[f"{name}_error"] = None
                     try:
-                        row[f"{name}_answer"] = json.dumps(backend.analyze(content, task), ensure_ascii=False)
-                        row[f"{name}_error"] = None
-                    except Exception as error:
-                        row[f"{name}_answer"], row[f"{name}_error"] = None, f"{type(error).__name__}: {error}"
+                        backend = backend or factory()
+                        row["backend"] = type(backend).__name__
+                        row[f"{name}_answer"] = plain(backend.analyze(content, task))
+                    except Exception as error:  # the other tasks and photos go on
+                        row[f"{name}_error"] = f"{type(error).__name__}: {error}"
                 rows.append(row)
-            yield pd.DataFrame(rows, columns=[key, *[f"{n}_{part}" for n, _ in tasks for part in ("answer", "error")]])
+            yield pd.DataFrame(rows, columns=[key, "backend", *[f"{n}_{part}" for n, _ in tasks for part in ("answer", "error")]])
 
     columns = ", ".join(f"{name}_answer string, {name}_error string" for name, _ in tasks)
-    return photos.select(key, "content").mapInPandas(run, f"{key} string, {columns}")
+    return photos.select(key, "content").mapInPandas(run, f"{key} string, backend string, {columns}")
+
+
+def _listed(payload: Column, field: str) -> Column:
+    """The list in a field of an answer, empty if there is none."""
+    return F.coalesce(F.try_variant_get(payload, f"$.{field}", "array<variant>"), F.array().cast("array<variant>"))
+
+
+def _numeric(value: Column) -> Column:
+    """A number, or null: text that looks like one is none."""
+    return F.when(F.schema_of_variant(value).rlike("^(BIGINT|DOUBLE|DECIMAL|FLOAT|INT)"), F.try_variant_get(value, "$", "double"))
+
+
+def backend_answers(answered: DataFrame, key: str = "object_id") -> DataFrame:
+    """What ``vision_outputs`` returned, in the columns the photo projections read.
+
+    ``caption``; ``ocr`` and ``objects`` with labels, boxes and scores by position; ``width``
+    and ``height`` where an answer tells them; per task a ``_runtime`` and an ``_error``. An
+    answer may be keyed by its task. Text recognition may answer plain text, which is one
+    region; a detection that is no mapping found nothing. Labels that are no text are
+    spelled as JSON, scores that are no numbers are null.
+    """
+    rows = answered.select(key, "backend", *[f"{name}_error" for name in VISION_TASKS], *[
+        F.try_parse_json(f"{name}_answer").alias(f"_{name}") for name in VISION_TASKS])
+    field = lambda value, name, kind: F.try_variant_get(value, name, kind)
+    unwrapped = rows.withColumns({f"_{name}_parsed": F.coalesce(field(F.col(f"_{name}"), "$.parsed", "variant"), F.col(f"_{name}")) for name in VISION_TASKS})
+    payloads = unwrapped.withColumns({
+        f"_{name}_payload": F.coalesce(field(F.col(f"_{name}_parsed"), f"$['{task}']", "variant"), F.col(f"_{name}_parsed")) for name, task in VISION_TASKS.items()})
+    payload = lambda name: F.col(f"_{name}_payload")
+    text = lambda value: F.coalesce(field(value, "$", "string"), F.lit(""))
+    boxes = lambda value, name: F.transform(_listed(value, name), lambda box: field(box, "$", "array<double>"))
+    shape = "struct<labels array<string>, {} array<array<double>>, scores array<double>>"
+
+    def regions(value: Column, places: str) -> Column:
+        return F.struct(F.transform(_listed(value, "labels"), text).alias("labels"), boxes(value, places).alias(places),
+                        F.transform(_listed(value, "scores"), _numeric).alias("scores")).cast(shape.format(places))
+
+    whole = F.struct(F.array(text(payload("ocr"))).alias("labels"), F.array().alias("quad_boxes"), F.array().alias("scores")).cast(shape.format("quad_boxes"))
+    side = lambda name: F.coalesce(*[field(F.col(f"_{task}"), f"$.{name}", "int") for task in ("objects", "caption", "ocr")])
+    runtime = lambda name, task: F.coalesce(
+        F.to_json(field(F.col(f"_{name}"), "$.runtime", "variant")), F.to_json(F.struct("backend", F.lit(task).alias("task"))))
+    return payloads.select(
+        key, text(payload("caption")).alias("caption"),
+        F.when(F.coalesce(F.schema_of_variant(payload("ocr")).startswith("OBJECT"), F.lit(False)), regions(payload("ocr"), "quad_boxes")).otherwise(whole).alias("ocr"),
+        regions(payload("objects"), "bboxes").alias("objects"), side("width").alias("width"), side("height").alias("height"),
+        *[runtime(name, task).alias(f"{name}_runtime") for name, task in VISION_TASKS.items()], *[f"{name}_error" for name in VISION_TASKS],
+    )
 
 
 def contexts(objects: DataFrame, attachments: DataFrame) -> DataFrame:

@@ -97,12 +97,14 @@ def import_outcomes(listing: DataFrame, outcomes: DataFrame, rollup: DataFrame)
     """One outcome per listed item: a bad item carries its error, the others go on.
 
     ``listing`` has ``source_kind, source_id, name, error``; ``outcomes`` the ingest
-    outcomes; ``rollup`` the status of the extractors per object.
+    outcomes; ``rollup`` the status of the extractors per object. Where the listing has
+    ``ordinal``, an item may be listed more than once.
     """
-    ingested = outcomes.select(
-        F.col("source").alias("source_kind"), "source_id", "object_id", F.col("outcome").alias("ingestion_outcome")
+    key = ["source_kind", "source_id", *(["ordinal"] if "ordinal" in listing.columns else [])]
+    ingested = outcomes.withColumnRenamed("source", "source_kind").select(
+        *key, "object_id", F.col("outcome").alias("ingestion_outcome")
     )
-    joined = listing.join(ingested, ["source_kind", "source_id"], "left").join(
+    joined = listing.join(ingested, key, "left").join(
         rollup.select("object_id", "semantic_status"), "object_id", "left"
     )
     conflict = F.col("ingestion_outcome") == "conflict"

@@ -33,6 +33,12 @@ KEYS = {
     "objects": ("source", "source_id"), "object_versions": ("object_id",), "relations": ("to_object_id",),
     "blobs": ("blob_id",), "attachments": ("object_id",), "blob_locations": ("object_id",), "import_diagnostics": (),
     "metadata_extractions": ("object_id",), "metadata_diagnostics": (),
+    "semantic_results": ("object_id",), "semantic_relations": ("object_id",), "semantic_runs": ("object_id",), "item_outcomes": (),
+}
+# Tables beside those of the index: which result each extractor run led to, and what became of listed items.
+SCHEMAS = {
+    "semantic_runs": "object_id string, extractor_name string, semantic_type string, semantic_result_id string, run_seq bigint",
+    "item_outcomes": "import_id string, filename string, source_id string, object_id string, ingestion_outcome string, semantic_status string, error string",
 }
 RUN_SCHEMA = TABLES["import_runs"].schema
 
@@ -112,7 +118,7 @@ class SnapshotLog:
                  keys: dict[str, tuple[str, ...]] | None = None, schemas: dict[str, str] | None = None):
         self.spark, self.root, self.buckets = spark, root.rstrip("/"), buckets
         self.keys = {**KEYS, **(keys or {})}
-        self.schemas = {**{name: table.schema for name, table in TABLES.items()}, **(schemas or {})}
+        self.schemas = {**{name: table.schema for name, table in TABLES.items()}, **SCHEMAS, **(schemas or {})}
         self.files = _Files(spark, self.root)
 
     # Reading

@@ -1,4 +1,4 @@
-"""Index tables on Parquet, run log rows and append-only sinks."""
+"""Index tables on Parquet and append-only sinks."""
 
 from __future__ import annotations
 
@@ -72,15 +72,6 @@ def write_report(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").json(path)
 
 
-def run_row(spark: SparkSession, import_id: str, source: str, raw_uri: str, source_hash: str,
-            started_at: str, completed_at: str | None, status: str, stats_json: str | None, error: str | None) -> DataFrame:
-    """One entry of the run log."""
-    return spark.createDataFrame(
-        [(import_id, source, raw_uri, source_hash, started_at, completed_at, status, stats_json, error)],
-        TABLES["import_runs"].schema,
-    )
-
-
 def outcome_stats(outcomes: DataFrame, keys: list[str]) -> DataFrame:
     """Counters of the run log: rows per outcome, as a JSON object per key."""
     counted = outcomes.groupBy(*keys).agg(*[

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.ids import DEFAULT_IDS, IdSpace
 from ..operators.extractors import (
-    backend_answers, contexts, mark_current, output, photo_registry, relation_rows, run_extractor, status_rollup,
+    backend_answers, contexts, output, photo_registry, relation_rows, run_extractor, status_rollup,
     vision_outputs, with_result_id,
 )
 from ..operators.metadata import backfill_times, backfill_versions, latest_metadata, metadata_diagnostics, project_metadata
@@ -21,7 +21,7 @@ from ..operators.upsert import (
     OBJECT_COLUMNS, append_versions, apply_outcomes, attachment_rows, blob_rows, classify, delivery_fingerprint,
     insert_absent, location_rows,
 )
-from ..session import materialise
+from ..session import discard, materialise
 from ..sources.content import digest, verify_manifest
 from ..sources.manifest import descriptor_error
 from ..sources.snapshots import Snapshot, SnapshotLog
@@ -201,11 +201,16 @@ def import_photos(listing: DataFrame, contents: DataFrame, log: SnapshotLog, bac
             f"{branch}_error": F.when(lost, unread).otherwise(F.col(f"{branch}_error")) for branch in VISION_BRANCHES.values()})
         made = materialise(run_photo_projections(ready, held["semantic_results"], base.seq + 1, ids), "photo-results")
 
-        written = dated(made).withColumn("diagnostics_json", F.to_json("diagnostics")).withColumn("is_current", F.lit(False))
-        every = held["semantic_results"].unionByName(written.select(*held["semantic_results"].columns)).drop("is_current")
-        log_of_runs = held["semantic_runs"].unionByName(runs.select(*held["semantic_runs"].columns))
-        results = materialise(mark_current(every, log_of_runs).select(*held["semantic_results"].columns), "photo-current")
-        of_import = results.filter("is_current").join(runs.select("semantic_result_id"), "semantic_result_id", "left_semi")
+        discard(answers)
+
+        # This run is the last one of its objects: its results are current, and no others of theirs.
+        chosen = runs.select("object_id", "extractor_name", "semantic_type", F.col("semantic_result_id").alias("_chosen"))
+        stays = F.when(F.col("_chosen").isNotNull(), F.col("_chosen") == F.col("semantic_result_id")).otherwise(F.col("is_current"))
+        before = held["semantic_results"].join(chosen, ["object_id", "extractor_name", "semantic_type"], "left").withColumn("is_current", stays)
+        written = dated(made).withColumns({"diagnostics_json": F.to_json("diagnostics"), "is_current": F.lit(True)})
+        results = before.select(*held["semantic_results"].columns).unionByName(written.select(*held["semantic_results"].columns))
+        statuses = held["semantic_results"].select("semantic_result_id", "object_id", "status").unionByName(made.select("semantic_result_id", "object_id", "status"))
+        of_import = statuses.join(runs.select("semantic_result_id"), "semantic_result_id", "left_semi")
         told_items = materialise(
             import_outcomes(judged.select("ordinal", "source_kind", "source_id", "name", "error"), outcomes, status_rollup(of_import, ["object_id"]))
             .withColumn("import_id", F.lit(import_id)), "photo-told")
@@ -217,5 +222,9 @@ def import_photos(listing: DataFrame, contents: DataFrame, log: SnapshotLog, bac
             "semantic_runs": log.stage("semantic_runs", runs), "item_outcomes": log.stage("item_outcomes", told_items)}
         counts = told_items.groupBy(F.coalesce("ingestion_outcome", F.lit("error")).alias("outcome"), "semantic_status").count().collect()
         stats = {f"{r['outcome']}.{r['semantic_status'] or 'none'}": r["count"] for r in counts}
+        scratch = [judged, incoming, outcomes, attachments, objects, runs, made, told_items]
         done = started | {"status": "complete", "completed_at": at, "source_hash": _import_hash(incoming), "stats_json": json.dumps(stats, sort_keys=True)}
-        return log.commit(base, replaced, appended, label=import_id, run=done)
+        snapshot = log.commit(base, replaced, appended, label=import_id, run=done)
+        for table in scratch:
+            discard(table)
+        return snapshot
